@@ -1,0 +1 @@
+"""Streaming of the call-graph engine."""
