@@ -50,7 +50,7 @@ def _words(sentence: str) -> set[str]:
     return set(TOKEN.findall(sentence.lower()))
 
 
-def fit(rows: list[tuple[str | None, int]], steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> dict:
+def fit(rows: list[tuple[str | None, int]], steps: int = 400, rate: float = 0.2, l2: float = 3e-5) -> dict:
     """{'bias', 'weights'} from (text, label) rows. Candidates: the features whose document counts lean most to label 1."""
     bags = [([_words(s) for s in sentences(t)], int(y)) for t, y in rows if y in (0, 1)]
     total = Counter(y for _, y in bags)
