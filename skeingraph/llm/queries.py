@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from skeingraph.llm import chat, imatch, packing, pii, topk, toxicity, urls
+from skeingraph.llm import chat, imatch, jaccard, packing, pii, topk, toxicity, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_url_filters": urls.query,
+    "op4_ngram_jaccard_join": jaccard.query,
     "op5_toxicity": toxicity.query,
     "op7_exact_top_k": topk.query,
     "op8_pii": pii.query,
     "op9_document_fingerprints": imatch.query,
     "op10_best_fit_packing": packing.query,
 }
-SQL = {"op1_chat_formatting": chat.SQL, "op2_url_filters": urls.SQL, "op7_exact_top_k": topk.SQL}
+SQL = {"op1_chat_formatting": chat.SQL, "op2_url_filters": urls.SQL, "op4_ngram_jaccard_join": jaccard.SQL, "op7_exact_top_k": topk.SQL}
