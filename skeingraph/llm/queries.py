@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skeingraph.llm import chat, imatch, jaccard, packing, pii, topk, toxicity, urls
+from skeingraph.llm import chat, imatch, jaccard, packing, pii, suffixtree, topk, toxicity, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_url_filters": urls.query,
+    "op3_lm_scoring": suffixtree.query,
     "op4_ngram_jaccard_join": jaccard.query,
     "op5_toxicity": toxicity.query,
     "op7_exact_top_k": topk.query,
