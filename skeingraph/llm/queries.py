@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeingraph.llm import chat, imatch, jaccard, packing, pii, suffixtree, topk, toxicity, urls
+from skeingraph.llm import chat, imatch, jaccard, packing, pieces, pii, suffixtree, topk, toxicity, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": suffixtree.query,
     "op4_ngram_jaccard_join": jaccard.query,
     "op5_toxicity": toxicity.query,
+    "op6_sentencepiece": pieces.query,
     "op7_exact_top_k": topk.query,
     "op8_pii": pii.query,
     "op9_document_fingerprints": imatch.query,
