@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeingraph.operators.ordering import declaration_order
-from skeingraph.schema import GeneratedFilter
+from skeingraph.schema import Accessibility, GeneratedFilter
 
 
 def symbol_projection(symbols: DataFrame, declarations: DataFrame, documents: DataFrame, projects: DataFrame) -> DataFrame:
@@ -134,13 +134,14 @@ def orphans(rows: DataFrame, key: str, users: DataFrame, user_key: str) -> DataF
     return rows.join(users.select(F.col(user_key).alias(key)), key, "left_anti")
 
 
-#: Codes of access that derived types have everywhere, and within one assembly only.
-ACCESS_ANY, ACCESS_SAME_ASSEMBLY = ("public", "protected", "protected internal"), ("internal", "private protected")
+#: Access that derived types have everywhere, and within one assembly only.
+ACCESS_ANY = (Accessibility.PUBLIC, Accessibility.PROTECTED, Accessibility.PROTECTED_OR_INTERNAL)
+ACCESS_SAME_ASSEMBLY = (Accessibility.INTERNAL, Accessibility.PROTECTED_AND_INTERNAL)
 
 
 def accessible(members: DataFrame, receivers: DataFrame) -> DataFrame:
     """Members (type_id, accessibility, assembly_name) that each receiver (type_id, receiver_assembly) may see."""
-    ok = F.col("accessibility").isin(*ACCESS_ANY) | (F.col("accessibility").isin(*ACCESS_SAME_ASSEMBLY) & (F.col("assembly_name") == F.col("receiver_assembly")))
+    ok = F.col("accessibility").isin([int(a) for a in ACCESS_ANY]) | (F.col("accessibility").isin([int(a) for a in ACCESS_SAME_ASSEMBLY]) & (F.col("assembly_name") == F.col("receiver_assembly")))
     return members.join(receivers, "type_id").where(ok)
 
 

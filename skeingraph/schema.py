@@ -10,14 +10,40 @@ SCHEMA_VERSION = 6
 
 
 class AsyncRole(IntFlag):
-    """Nine bits; only zero or not matters to the queries here."""
-
     NONE = 0
-    ALL = 511
+    DECLARED_ASYNC = 1
+    RETURNS_AWAITABLE = 2
+    CONTAINS_AWAIT = 4
+    ASYNC_ITERATOR = 8
+    RETURNS_ASYNC_ENUMERABLE = 16
+    ASYNC_VOID = 32
+    UNITASK_VOID = 64
+    USES_AWAIT_FOREACH = 128
+    USES_AWAIT_USING = 256
+
+
+class InputMode(IntEnum):
+    SOLUTION, PROJECT, DIRECTORY = range(1, 4)
 
 
 class GenerationKind(IntEnum):
-    NONE, ASSEMBLY_ATTRIBUTES, FILE_NAME, DIRECTORY, HEADER = range(5)
+    NONE, FILE_NAME, AUTO_GENERATED_HEADER, GENERATED_DIRECTORY, ASSEMBLY_ATTRIBUTES = range(5)
+
+
+class SegmentKind(IntEnum):
+    NAMED, SPECIAL, LAMBDA, ANONYMOUS_METHOD, INITIALIZER, TOP_LEVEL_STATEMENTS = range(1, 7)
+
+
+class TypeKind(IntEnum):
+    UNKNOWN, ARRAY, CLASS, DELEGATE, DYNAMIC, ENUM, ERROR, INTERFACE, MODULE, POINTER, STRUCT, TYPE_PARAMETER, SUBMISSION, FUNCTION_POINTER, EXTENSION = range(15)
+
+
+class Accessibility(IntEnum):
+    NOT_APPLICABLE, PRIVATE, PROTECTED_AND_INTERNAL, PROTECTED, INTERNAL, PROTECTED_OR_INTERNAL, PUBLIC = range(7)
+
+
+class ResolutionReason(IntEnum):
+    NONE, MISSING_METADATA_REFERENCE, COMPILATION_ERROR, AMBIGUOUS_CANDIDATES, DYNAMIC_DISPATCH, UNSUPPORTED_CONSTRUCT, UNKNOWN = range(7)
 
 
 class AsyncStatus(IntEnum):
@@ -41,7 +67,7 @@ class ReferenceKind(IntEnum):
 
 
 class DispatchKind(IntEnum):
-    STATIC, VIRTUAL, INTERFACE, UNKNOWN = range(1, 5)
+    STATIC, VIRTUAL, INTERFACE, DYNAMIC = range(1, 5)
 
 
 class ResolutionStatus(IntEnum):

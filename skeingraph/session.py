@@ -42,8 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with its place from 1 in the order given. Rows are dealt by ranges and numbered within; only one count for each range reaches the driver."""
+#: Rows that one task may order, where their number is known.
+ONE_TASK = 50_000
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", rows: int | None = None) -> DataFrame:
+    """df with its place from 1 in the order given. Rows are dealt by ranges and numbered within; only one count for each range reaches the driver.
+
+    rows: the number of rows, if known; up to ONE_TASK of them are ordered at once."""
+    if rows is not None and rows <= ONE_TASK:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(df.repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id()), "ranked")
