@@ -10,7 +10,7 @@ has to be stored, and `reveal` (the same network backwards) restores them.
   the 146,097 of that Gregorian cycle is permuted as 27 x 5411, so one date in two formats stays one date;
 * phone numbers: the digits after a leading +1 are permuted, punctuation stays;
 * e-mail addresses: letters stay letters and digits digits, up to the last dot;
-* credentials (access keys, hex secrets after password, token, secret or key): as e-mail.
+* credentials (access keys, hex secrets after password, token, secret or key): as e-mail, hex digits stay hex digits.
 
 The work is a regular expression's two passes over a text that has a digit or @, and
 hashing for what was found only; there is no shuffle. Possessive runs and look-behinds keep the expression linear on long texts.
@@ -57,18 +57,18 @@ def feistel_pair(a: Column, b: Column, n_a: int, n_b: int, key: str, domain: str
     return a, b
 
 
-def _shift(c: Column, by: Column) -> Column:
-    """A character moved within its class (digits, lower, upper case); others stay."""
+def _shift(c: Column, by: Column, lower: int) -> Column:
+    """A character moved within its class (digits, the first `lower` small letters, capitals); others stay."""
     code = F.ascii(c)
     turn = lambda base, n: F.chr(F.pmod(code - base + by, F.lit(n)) + base)
-    return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[a-z]$"), turn(97, 26)).when(c.rlike("^[A-Z]$"), turn(65, 26)).otherwise(c)
+    return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[a-z]$"), turn(97, lower)).when(c.rlike("^[A-Z]$"), turn(65, 26)).otherwise(c)
 
 
 def _shape(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
 
 
-def feistel_chars(s: Column, key: str, domain: str, back: bool) -> Column:
+def feistel_chars(s: Column, key: str, domain: str, back: bool, lower: int = 26) -> Column:
     """A permutation of the strings of one shape: each round moves the characters of one half by a keyed hash of the other half and of the shape."""
     half = (F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1).alias("r"))
@@ -76,7 +76,7 @@ def feistel_chars(s: Column, key: str, domain: str, back: bool) -> Column:
     def moved(part: Column, other: Column, r: Column) -> Column:
         digest = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(domain), r.cast("string"), i.cast("string"), _shape(part), other), 256), 1, 6), 16, 10).cast("int")
         sign = -1 if back else 1
-        return F.array_join(F.transform(F.split(part, ""), lambda c, i: _shift(c, sign * (digest(i) % 260))), "")
+        return F.array_join(F.transform(F.split(part, ""), lambda c, i: _shift(c, sign * (digest(i) % 780), lower)), "")
 
     def step(x: Column, r: Column) -> Column:
         return F.when(r % 2 == 0, F.struct(moved(x["l"], x["r"], r).alias("l"), x["r"].alias("r"))).otherwise(F.struct(x["l"].alias("l"), moved(x["r"], x["l"], r).alias("r")))
@@ -123,7 +123,7 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     name = F.substring_index(m, ".", -1)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(name))
     email = F.concat(feistel_chars(head, key, "email", back), name)
-    secret = F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_chars(F.substr(m, F.lit(5)), key, "secret", back))).otherwise(feistel_chars(m, key, "secret", back))
+    secret = F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_chars(F.substr(m, F.lit(5)), key, "secret", back))).otherwise(feistel_chars(m, key, "hex", back, 6))
     return (
         F.when(m.contains("@"), email)
         .when(m.rlike(rf"^{IP}$"), ip)
