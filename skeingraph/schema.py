@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import IntEnum, IntFlag
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = 6
 
@@ -111,4 +111,12 @@ _COLUMNS = {
     "conditional_symbols_used": "analysis_profile_id long!, document_id long!, symbol_name string!, occurrence_count int!",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(text.replace("!", " NOT NULL")) for name, text in _COLUMNS.items()}
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _schema(text: str) -> T.StructType:
+    pairs = (column.split(" ") for column in text.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind.removesuffix("!")], not kind.endswith("!")) for name, kind in pairs])
+
+
+SCHEMAS: dict[str, T.StructType] = {name: _schema(text) for name, text in _COLUMNS.items()}

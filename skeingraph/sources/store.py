@@ -48,7 +48,7 @@ def save(spark: SparkSession, root: str, profile: str, tables: dict[str, DataFra
     pointer, _ = _fs(spark, f"{home}/{POINTER}")
     options = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    array = spark._gateway.new_array(rename, 1)
+    array = spark.sparkContext._gateway.new_array(rename, 1)
     array[0] = rename.OVERWRITE
     options.rename(fresh, pointer, array)
     return f"{home}/{run}"
