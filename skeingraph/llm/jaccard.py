@@ -12,9 +12,9 @@ Set-relation skipping, in four steps:
    entry at all. Equal sets become one set first, their smallest doc_id (`rep`).
 3. Answers. Sets are not compared pairwise within a list but with leaders: all with the
    list's smallest set, then, where a list still holds several classes (components found so far),
-   with a set of another class. Blocks of a list whose sizes or positions rule a link
-   out are skipped: a shingle at positions i and j allows an overlap of
-   min(i, j) + 1 + min(n - i, m - j) - 1 at most.
+   with a set of another class. Parts of a list whose sizes or positions rule a link
+   out are skipped: if a shingle at positions i and j is the first common one, the overlap is
+   min(n - i, m - j) at most.
 4. The rest. In lists that still hold several classes, the sets outside of a list's largest
    class are compared with the whole list, except where the computed answers of both
    exclude a link: Jaccard distance is a metric, so d(a, b) >= |d(a, r) - d(b, r)| for the
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from skeingraph.llm.common import Words, mix, planes, table, unplanes, written
 
 SHINGLE, PERCENT = 5, 75
-#: Bits of each class map, whatever the input; least number of counting buckets (a power of two); documents that make a shingle common.
-BITS, BUCKETS, COMMON = 27, 128, 32
+#: The maps have 2**BITS bits and 2**CLASS_BITS classes, whatever the input; least number of counting buckets (a power of two).
+BITS, CLASS_BITS, BUCKETS = 27, 25, 128
 #: Shingles that a map task holds before it sends them.
 HELD = 4_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -62,8 +62,8 @@ def least_overlap(n, m, percent: int = PERCENT):
     return (percent * (n + m) + 99 + percent) / (100 + percent)
 
 
-def _counted(docs: DataFrame, size: int) -> dict[str, bytes]:
-    """The two class maps, 2**BITS bits each."""
+def _counted(docs: DataFrame, size: int) -> dict[str, bytearray]:
+    """The two maps of the shingles' classes."""
     buckets = max(BUCKETS, 1 << (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     shift = 33 - buckets.bit_length()
 
@@ -86,27 +86,24 @@ def _counted(docs: DataFrame, size: int) -> dict[str, bytes]:
         if n:
             yield send(held)
 
-    per_bucket = (1 << BITS) // buckets
-
     def count(key, pdf):
         v = np.sort(np.concatenate([unplanes(b, np.uint32) for b in pdf["block"]]))
         start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         times = np.diff(np.append(start, len(v)))
-        at = (v[start] >> np.uint32(32 - BITS)).astype(np.int64) - int(key[0]) * per_bucket
-        out = []
-        for least in (2, COMMON):
-            bits = np.zeros(per_bucket, bool)
-            bits[at[times >= least]] = True
-            out.append(np.packbits(bits).tobytes())
-        return pd.DataFrame([(int(key[0]), *out)], columns=["bucket", "shared", "common"])
-
-    rows = docs.select("text").mapInPandas(run, "bucket int, block binary").groupBy("bucket").applyInPandas(count, "bucket int, shared binary, common binary").collect()
-    maps = {}
-    for name in ("shared", "common"):
-        bits = bytearray((1 << BITS) // 8)
-        for r in rows:
-            bits[r["bucket"] * per_bucket // 8 : (r["bucket"] + 1) * per_bucket // 8] = r[name]
-        maps[name] = bytes(bits)
+        v, times = v[start][times > 1], times[times > 1]
+        at = lambda bits: (v >> np.uint32(32 - bits)).astype(np.int64) - int(key[0]) * (1 << bits) // buckets
+        shared = np.zeros((1 << BITS) // buckets, bool)
+        shared[at(BITS)] = True
+        kind = np.zeros((1 << CLASS_BITS) // buckets, np.uint8)
+        np.maximum.at(kind, at(CLASS_BITS), np.minimum(15, np.log2(times)).astype(np.uint8))
+        return pd.DataFrame([(int(key[0]), np.packbits(shared).tobytes(), (kind[::2] << 4 | kind[1::2]).tobytes())], columns=["bucket", "shared", "kind"])
+
+    rows = docs.select("text").mapInPandas(run, "bucket int, block binary").groupBy("bucket").applyInPandas(count, "bucket int, shared binary, kind binary").toLocalIterator()
+    maps = {"shared": bytearray((1 << BITS) // 8), "kind": bytearray((1 << CLASS_BITS) // 2)}
+    for r in rows:
+        for name, m in maps.items():
+            size = len(m) // buckets
+            m[r["bucket"] * size : (r["bucket"] + 1) * size] = r[name]
     return maps
 
 
@@ -117,10 +114,7 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 
     def run(batches):
         words = Words()
-        shared, common = (np.frombuffer(maps.value[x], np.uint8) for x in ("shared", "common"))
-
-        def bit(m, at):
-            return (m[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        shared, kinds = (np.frombuffer(maps.value[x], np.uint8) for x in ("shared", "kind"))
 
         for pdf in batches:
             rows = []
@@ -129,13 +123,14 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 n = len(s)
                 k1, k2 = (int(x) for x in (s.sum(dtype=np.uint64).view(np.int64), mix(s ^ _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
                 at = (s >> np.uint64(64 - BITS)).astype(np.int64)
-                kind = bit(shared, at)
+                kind = (shared[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
                 tokens, pos = s[:0], at[:0]
                 if kind.any():
                     first = n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
                     single = n - int(kind.sum())
                     if single < first:
-                        kind = kind + bit(common, at)
+                        at >>= BITS - CLASS_BITS
+                        kind = kind * (1 + (kinds[at >> 1] >> (4 - 4 * (at & 1)).astype(np.uint8) & 15))
                         order = np.argsort(kind, kind="stable")[single:first]
                         tokens, pos = s[order], np.arange(single, single + len(order))
                 rows.append((d, n, k1, k2, tokens.view(np.int64), pos.astype(np.int32), s.tobytes() if len(tokens) else None))
@@ -145,17 +140,25 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (smallest id reachable) of the ids in edges (a, b): least labels of neighbours, and of labels, until none changes."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "id")
-        jump = labels.select(F.col("id").alias("near"), F.col("component").alias("jump"))
-        new = labels.join(near, "id").join(jump, "near").select("id", F.least("component", "jump").alias("component"), (F.least("component", "jump") < F.col("component")).alias("changed"))
-        new = written(new, "labels")
-        labels = new.select("id", "component")
-        if new.where("changed").isEmpty():
-            return labels
+    """id and component (smallest id reachable) of the ids in edges (a, b).
+
+    In each round every vertex points to its smallest neighbour if that is smaller, chains of pointers are
+    halved to their ends, and edges move to these ends; what became a loop or a repetition goes, so edges shrink to none."""
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    named = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), "labels")
+    while not edges.isEmpty():
+        up = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
+        up = written(up.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("up")).distinct().join(up.select("id"), "id", "left_anti")), "ups")
+        while True:
+            far = up.select(F.col("id").alias("up"), F.col("up").alias("far"))
+            jumped = written(up.join(far, "up").select("id", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "ups")
+            up = jumped.select("id", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        named = written(named.join(up.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
+        moved = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
+        edges = written(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return named
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,10 +180,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInPandas(run, "a long, b long, both int, n_a int, n_b int")
 
 
-def _fits(n, m, i, j, percent: int):
-    """Sizes and the positions of a common shingle allow a link."""
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most >= F.floor(least_overlap(n, m, percent)))
+def _fits(x: str, y: str, percent: int):
+    """Sizes, and the positions of a common shingle, allow a link of the sets whose columns end in x and y.
+
+    Taken at their first common shingle, two sets share at most what is left of the shorter one; a
+    pair that links passes there, so it need not pass at the later ones."""
+    n, i, m, j = (F.col(c + e) for e in (x, y) for c in ("n", "pos"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= F.floor(least_overlap(n, m, percent)))
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -198,10 +204,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     index = once.where(F.size("tokens") > 0).join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     lists = index.select("rep", "n", F.explode(F.arrays_zip("tokens", "positions")).alias("x")).select(F.col("x.tokens").alias("token"), "rep", "n", F.col("x.positions").alias("pos"))
     leaders = lists.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("l"), F.count("*").alias("size")).where("size > 1").drop("size")
-    lists = written(lists.join(leaders, "token").select("token", "rep", "n", "pos", F.col("l.rep").alias("leader"), F.col("l.n").alias("n_l"), F.col("l.pos").alias("pos_l")), "jaccard-lists")
+    lists = written(lists.join(leaders, "token").select("token", "rep", "n", "pos", F.col("l.rep").alias("leader"), *[F.col(f"l.{c}").alias(f"{c}_l") for c in ("n", "pos")]), "jaccard-lists")
     sets = index.select("rep", "n", "whole")
 
-    fit = _fits(F.col("n"), F.col("n_l"), F.col("pos"), F.col("pos_l"), percent)
+    fit = _fits("", "_l", percent)
     answers = written(verified(lists.where((F.col("rep") != F.col("leader")) & fit).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), sets), "jaccard-answers")
     is_link = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     classes = components(answers.where(is_link))
@@ -214,8 +220,8 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     # A set of the list's largest class label leads the second comparison.
     rest = mixed()
-    second = rest.groupBy("token").agg(F.max(F.struct("class", "rep", "n", "pos")).alias("l")).select("token", F.col("l.class").alias("class_2"), F.col("l.rep").alias("b"), F.col("l.n").alias("n_2"), F.col("l.pos").alias("pos_2"))
-    pairs = rest.join(second, "token").where((F.col("class") != F.col("class_2")) & _fits(F.col("n"), F.col("n_2"), F.col("pos"), F.col("pos_2"), percent))
+    second = rest.groupBy("token").agg(F.max(F.struct("class", "rep", "n", "pos")).alias("l")).select("token", F.col("l.rep").alias("b"), *[F.col(f"l.{c}").alias(f"{c}_2") for c in ("class", "n", "pos")])
+    pairs = rest.join(second, "token").where((F.col("class") != F.col("class_2")) & _fits("", "_2", percent))
     pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
     more = written(verified(pairs, sets), "jaccard-answers")
     answers = answers.unionByName(more)
@@ -225,9 +231,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     apart = answers.select(F.col("a").alias("rep"), F.col("b").alias("leader"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
     rest = rest.join(apart, ["rep", "leader"], "left").withColumn("d", F.when(F.col("rep") == F.col("leader"), F.lit(0.0)).otherwise(F.col("d")))
     largest = rest.groupBy("token", "class").count().groupBy("token").agg(F.max(F.struct("count", "class")).alias("m")).select("token", F.col("m.class").alias("largest"))
-    minority = rest.join(largest, "token").where("class != largest").select("token", F.col("rep").alias("a"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("class").alias("class_x"), F.col("d").alias("d_x"))
+    minority = rest.join(largest, "token").where("class != largest").select("token", F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("n", "pos", "class", "d")])
     near = F.coalesce(F.abs(F.col("d") - F.col("d_x")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = minority.join(rest, "token").where((F.col("class") != F.col("class_x")) & near & _fits(F.col("n"), F.col("n_x"), F.col("pos"), F.col("pos_x"), percent))
+    pairs = minority.join(rest, "token").where((F.col("class") != F.col("class_x")) & near & _fits("", "_x", percent))
     pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = written(verified(pairs.join(done, ["a", "b"], "left_anti"), sets), "jaccard-answers")
