@@ -120,7 +120,7 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         p = self.sentence_scores(text)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        return float(0.0 - np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
