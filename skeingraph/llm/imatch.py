@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from skeingraph.llm.common import lower_ascii, table, written
 
 IDF_MIN, IDF_MAX = 3.0, 8.0
-PARTS = 64
+PARTS = 48
 #: Rows of a lexicon that is broadcast, at most.
 BROADCAST_ROWS = 4_000_000
 
@@ -73,20 +73,26 @@ def fingerprints(rows: DataFrame, key: list[str], sides: dict[int, str], band: D
     total = lambda c: F.sum(F.pmod(F.xxhash64("term", "p", c), F.lit(2**31 - 1)))
     parts = exploded.groupBy(*key, "side", "v", "p").agg(F.count("in_band").alias("n"), total("in_band").alias("h_band"), total("v").alias("h_all"))
     parts = parts.withColumn("h_band", F.when(F.col("n") > 0, F.col("h_band")))
-    code = lambda h: F.concat(F.lpad(F.col("v").cast("string"), 2, "0"), F.lpad(F.col("p").cast("string"), 2, "0"), F.right(F.concat(F.lit("000000"), F.hex(F.xxhash64(h))), F.lit(6)))
+    # Level first, so that sorted codes stand by level: "vv", then the two digits of the part and five of the hash.
+    code = lambda h: F.struct(F.lpad(F.col("v").cast("string"), 2, "0").alias("v"), F.concat(F.lpad(F.col("p").cast("string"), 2, "0"), F.right(F.concat(F.lit("00000"), F.hex(F.xxhash64(h))), F.lit(5))).alias("code"))
     of = lambda s, h, also: F.collect_list(F.when((F.col("side") == s) & also, code(h)))
     found = parts.groupBy(*key).agg(*[x for s in sides for x in (of(s, "h_band", F.col("n") > 0).alias(f"band_{s}"), of(s, "h_all", F.lit(True)).alias(f"all_{s}"))])
     chosen = lambda s: F.when(F.size(f"band_{s}") > 0, F.col(f"band_{s}")).otherwise(F.col(f"all_{s}"))
-    return found.select(*key, *[F.array_join(F.array_sort(chosen(s)), " ").alias(f"print_{s}") for s in sides])
+
+    def text(codes):
+        level = lambda v: F.concat(v, F.lit(":"), F.array_join(F.array_sort(F.transform(F.filter(codes, lambda x: x["v"] == v), lambda x: x["code"])), "."))
+        return F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(codes, lambda x: x["v"]))), level), " ")
+
+    return found.select(*key, *[text(chosen(s)).alias(f"print_{s}") for s in sides])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints: the largest, over the levels of both, share of equal hashes among the parts that either fills."""
-    x, y = (F.filter(F.split(c, " "), lambda s: s != "") for c in (a, b))
-    level = lambda arr, v: F.filter(arr, lambda s: s.startswith(v))
-    head = lambda arr, n: F.transform(arr, lambda s: F.substring(s, 1, n))
-    share = lambda v: F.size(F.array_intersect(level(x, v), level(y, v))) / F.size(F.array_union(head(level(x, v), 4), head(level(y, v), 4)))
-    best = F.array_max(F.transform(F.array_intersect(head(x, 2), head(y, 2)), share))
+    levels = lambda c: F.filter(F.split(c, " "), lambda s: s != "")
+    codes = lambda level: F.split(F.substring(level, 4, 2**30), r"\.")
+    parts = lambda level: F.transform(codes(level), lambda s: F.substring(s, 1, 2))
+    share = lambda p, q: F.when(F.substring(p, 1, 2) == F.substring(q, 1, 2), F.size(F.array_intersect(codes(p), codes(q))) / F.size(F.array_union(parts(p), parts(q))))
+    best = F.array_max(F.flatten(F.transform(levels(a), lambda p: F.transform(levels(b), lambda q: share(p, q)))))
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
