@@ -37,7 +37,7 @@ from skeingraph.llm.toxicity import held_out
 HEAVY, P_MIN = 2e-7, 2e-6
 MAX_CONTEXT = 2
 GAIN, DISCOUNT = 10.0, 0.5
-BUCKETS, HELD = 128, 4_000_000
+BUCKETS, HELD, SLICE = 128, 4_000_000, 1_000_000
 
 
 class Stream:
@@ -57,6 +57,17 @@ class Stream:
         self.doc = np.repeat(np.arange(len(ends)), np.diff(np.append(-1, self.ends)))
 
 
+def slices(pdf: pd.DataFrame):
+    """Parts of a batch of at most SLICE characters, or one text, as a text's arrays take about 20 times its characters."""
+    ends = pdf["text"].str.len().fillna(0).cumsum().to_numpy()
+    a = 0
+    while a < len(pdf):
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield pdf.iloc[a:b]
+        a = b
+
+
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key in sorted_keys, -1 where it isn't one."""
     if not len(sorted_keys):
@@ -199,7 +210,7 @@ def _pairs(docs: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         t, words, held, n = held_tree.value, Words(), [], 0
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in slices(batch)):
             stream = Stream(words, pdf["text"])
             _, f = t.numbers(stream)
             for _ in t.walk(stream, f):
@@ -244,7 +255,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
 
     def run(batches):
         t, hashes = held_tree.value, Words()
-        for k, pdf in enumerate(batches):
+        for pdf in (part for batch in batches for part in slices(batch)):
             stream = Stream(hashes, pdf["text"])
             tokens, known, base, prob, rare = t.score(stream)
             cut = np.searchsorted(np.flatnonzero(rare), stream.ends)
