@@ -41,6 +41,8 @@ SHINGLE, PERCENT = 5, 75
 BITS, CLASS_BITS, BUCKETS = 27, 25, 128
 #: Shingles that a map task holds before it sends them.
 HELD = 4_000_000
+#: Edges that one task may join, at most.
+ONE_TASK = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -139,14 +141,33 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     return docs.mapInPandas(run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _ends(key, pdf):
+    """component and up of at most ONE_TASK edges: each id with the smallest one that it reaches."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        root.setdefault(x, x)
+        root.setdefault(y, y)
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return pd.DataFrame({"component": list(root), "up": [find(x) for x in root]})
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """id and component (smallest id reachable) of the ids in edges (a, b).
 
     In each round every vertex points to its smallest neighbour if that is smaller, chains of pointers are
-    halved to their ends, and edges move to these ends; what became a loop or a repetition goes, so edges shrink to none."""
+    halved to their ends, and edges move to these ends; what became a loop or a repetition goes, so edges
+    shrink. Once at most `one_task` are left, which is counted, one task ends them."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    named = written(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), "labels")
-    while not edges.isEmpty():
+    named, left = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), edges.count()
+    while left > one_task:
         up = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
         up = written(up.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("up")).distinct().join(up.select("id"), "id", "left_anti")), "ups")
         while True:
@@ -158,7 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
         named = written(named.join(up.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
         moved = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
         edges = written(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return named
+        left = edges.count()
+    ends = edges.groupBy(F.lit(0).alias("all")).applyInPandas(_ends, "component long, up long")
+    return written(named.join(ends, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

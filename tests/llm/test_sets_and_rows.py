@@ -75,10 +75,11 @@ def test_no_documents_and_repeated_ids(spark):
     assert sorted(r["doc_id"] for r in jaccard.near_copies(rows).collect()) == [1, 2]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 30, 10_000])
+def test_connected_components(spark, one_task):
     rnd = random.Random(9)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
-    got = {r["id"]: r["component"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert all(got[a] == got[b] for a, b in edges if a != b)
     assert all(got[i] == 300 for i in range(300, 341)) and all(c <= i for i, c in got.items())
 
