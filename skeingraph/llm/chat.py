@@ -50,23 +50,24 @@ def choose_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
         "chat-hop0",
     )
     # hops[k] leads from a node to its ancestor 2**k above; depth and score count what lies between.
-    hops, rounds = [hop], max(1, nodes.count()).bit_length() + 1
-    while len(hops) <= rounds and not hops[-1].where("anc is not null").isEmpty():
-        a = hops[-1]
-        b = a.select("conv_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        hops.append(
-            written(
-                a.join(b, ["conv_id", "anc"], "left").select(*KEY, F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")),
-                f"chat-hop{len(hops)}",
-            )
-        )
-    rooted = hops[-1].where("anc is null").select(*KEY, "depth", "score")
+    # Nodes that have come to their root are done and only looked up, so each round joins fewer.
+    hops, rounds = [], max(1, nodes.count()).bit_length() + 1
+    live, done = hop.where("anc is not null"), hop.where("anc is null")
+    while len(hops) <= rounds and not live.isEmpty():
+        b = live.unionByName(done).select("conv_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        hops.append(live)
+        further = live.join(b, ["conv_id", "anc"]).select(*KEY, F.col("anc2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"))
+        further = written(further, f"chat-hop{len(hops)}")
+        live, done = further.where("anc is not null"), done.unionByName(further.where("anc is null"))
+    rooted = done.select(*KEY, "depth", "score")
     parents = hop.where("anc is not null").select("conv_id", F.col("anc").alias("node_id")).distinct()
     leaves = rooted.join(parents, KEY, "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("depth"), "node_id")
     marked = leaves.withColumn("path_rank", F.row_number().over(best)).where(F.col("path_rank") <= n_best).select(*KEY, "path_rank")
-    for h in reversed(hops[:-1]):
+    for h in reversed(hops):
         up = h.where("anc is not null").select(*KEY, "anc")
+        # Written, as both sides of the union read it: each round would double the plan.
+        marked = written(marked, "chat-marked")
         marked = marked.unionByName(marked.join(up, KEY).select("conv_id", F.col("anc").alias("node_id"), "path_rank"))
     return marked.join(rooted.select(*KEY, "depth"), KEY).select("conv_id", "path_rank", "node_id", "depth")
 
