@@ -4,13 +4,15 @@ Each value found is validated and then permuted within its own format by a keyed
 Feistel network, so equal values become equal pseudonyms in every document, nothing
 has to be stored, and `reveal` (the same network backwards) restores them.
 
-* card numbers (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit is computed again;
+* card numbers (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit is computed again. Where several
+  numbers stand in a row, separated by one space or hyphen, each group and each row of groups of 3 digits or more is tried, so a
+  neighbour does not hide a card; a pseudonym that would make other groups the row's cards is permuted once more;
 * IPv4 addresses (four octets): a permutation of 32 bits, halves of 16;
 * dates (YYYY-MM-DD, D/M/YYYY, D.M.YYYY; real dates of 1700 to 2099): the number of the day among
   the 146,097 of that Gregorian cycle is permuted as 27 x 5411, so one date in two formats stays one date;
 * phone numbers: the digits after a leading +1 are permuted, punctuation stays;
 * e-mail addresses: letters stay letters and digits digits, up to the last dot;
-* credentials (access keys, hex secrets after password, token, secret or key): as e-mail, hex digits stay hex digits.
+* credentials (access keys, hex secrets after password, token, secret or key, in small letters or capitals): as e-mail, hex digits stay hex digits.
 
 The work is a regular expression's two passes over a text that has a digit or @, and
 hashing for what was found only; there is no shuffle. Possessive runs and look-behinds keep the expression linear on long texts.
@@ -32,8 +34,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 DATE = r"(?<![\d.-])\d{4}-\d\d-\d\d(?![\d-])|(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)"
-CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}+(?![\w]|-\d)"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?:password|token|secret|key) ?[=:] ?[\"']?)[0-9a-f]{16,}+(?![A-Za-z0-9])"
+#: A run of numbers of up to 19 digits with 13 digits or more, up to the next value of another kind; `cards` finds the cards in it.
+CARD = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\w)(?:(?: (?!{EMAIL}|{IP}|{DATE}|{PHONE})|-(?!{PHONE}))\d{{1,19}}+(?!\w))*+"
+RUN = r"^\d{1,19}(?:[ -]\d{1,19})*$"
+SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|token|secret|key) ?[=:] ?[\"']?)[0-9a-fA-F]{16,}+(?![A-Za-z0-9])"
 PATTERN = "|".join((EMAIL, IP, DATE, PHONE, CARD, SECRET))
 
 
@@ -57,18 +61,18 @@ def feistel_pair(a: Column, b: Column, n_a: int, n_b: int, key: str, domain: str
     return a, b
 
 
-def _shift(c: Column, by: Column, lower: int) -> Column:
-    """A character moved within its class (digits, the first `lower` small letters, capitals); others stay."""
+def _shift(c: Column, by: Column, letters: int) -> Column:
+    """A character moved within its class (digits, the first `letters` small letters, as many capitals); others stay."""
     code = F.ascii(c)
     turn = lambda base, n: F.chr(F.pmod(code - base + by, F.lit(n)) + base)
-    return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[a-z]$"), turn(97, lower)).when(c.rlike("^[A-Z]$"), turn(65, 26)).otherwise(c)
+    return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[a-z]$"), turn(97, letters)).when(c.rlike("^[A-Z]$"), turn(65, letters)).otherwise(c)
 
 
 def _shape(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
 
 
-def feistel_chars(s: Column, key: str, domain: str, back: bool, lower: int = 26) -> Column:
+def feistel_chars(s: Column, key: str, domain: str, back: bool, letters: int = 26) -> Column:
     """A permutation of the strings of one shape: each round moves the characters of one half by a keyed hash of the other half and of the shape."""
     half = (F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1).alias("r"))
@@ -76,7 +80,7 @@ def feistel_chars(s: Column, key: str, domain: str, back: bool, lower: int = 26)
     def moved(part: Column, other: Column, r: Column) -> Column:
         digest = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(domain), r.cast("string"), i.cast("string"), _shape(part), other), 256), 1, 6), 16, 10).cast("int")
         sign = -1 if back else 1
-        return F.array_join(F.transform(F.split(part, ""), lambda c, i: _shift(c, sign * (digest(i) % 780), lower)), "")
+        return F.array_join(F.transform(F.split(part, ""), lambda c, i: _shift(c, sign * (digest(i) % 780), letters)), "")
 
     def step(x: Column, r: Column) -> Column:
         return F.when(r % 2 == 0, F.struct(moved(x["l"], x["r"], r).alias("l"), x["r"].alias("r"))).otherwise(F.struct(x["l"].alias("l"), moved(x["r"], x["l"], r).alias("r")))
@@ -96,12 +100,65 @@ def _into(skeleton: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(F.split(skeleton, "[0-9]", -1), F.array_append(F.split(digits, ""), ""), lambda p, d: F.concat(p, d)), "")
 
 
+def cards(run: Column) -> Column:
+    """array<struct<rank, at, k>>: the cards of a run, each k groups of digits from group `at` (from 0) on.
+
+    Among the Luhn-valid candidates those of one group or of a usual grouping come first, then the others, from left to right and short ones first."""
+    groups = F.split(run, "[ -]")
+    n = F.size(groups)
+
+    def of(i):
+        part = lambda k: F.slice(groups, i + 1, k)
+        digits = lambda k: F.array_join(part(k), "")
+        usual = lambda k: (k == 1) | F.array_join(F.transform(part(k), F.length), "-").isin("4-4-4-4", "4-6-5", "4-6-4")
+        # Columns of small numbers would often be valid by chance, so their groups count as a card only where they are the whole run.
+        fits = lambda k: F.length(digits(k)).between(13, 19) & ((k == n) | ~F.exists(part(k), lambda g: F.length(g) < 3))
+        valid = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: F.when(fits(k), luhn_sum(digits(k)) % 10 == 0).otherwise(False))
+        return F.transform(valid, lambda k: F.struct(F.when(usual(k), 0).otherwise(1).alias("rank"), i.alias("at"), k.alias("k")))
+
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)))
+    apart = lambda x, y: (x["at"] >= y["at"] + y["k"]) | (y["at"] >= x["at"] + x["k"])
+    return F.aggregate(found, F.slice(found, 1, 0), lambda kept, x: F.when(F.forall(kept, lambda y: apart(x, y)), F.array_append(kept, x)).otherwise(kept))
+
+
+def _card(m: Column, key: str, back: bool) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    body = feistel_chars(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", back)
+    return _into(m, F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")))
+
+
+#: Steps of a walk at most; one in ten or fewer of a run's pseudonyms needs a further step.
+WALK = 10
+
+
+def _run(m: Column, key: str, back: bool) -> Column:
+    """A run with its cards permuted, again until the same groups are its cards, so that the way back finds them."""
+
+    def moved(text, of):
+        parts = F.regexp_extract_all(text, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+        def part(p, i):
+            card = F.filter(of, lambda x: (x["at"] <= i) & (i < x["at"] + x["k"]))
+            whole = F.array_join(F.slice(parts, i + 1, F.get(card, F.lit(0))["k"]), "")
+            return F.when(F.size(card) == 0, p).when(F.get(card, F.lit(0))["at"] == i, _card(whole, key, back)).otherwise("")
+
+        return F.array_join(F.transform(parts, part), "")
+
+    def walk(of):
+        def step(x, _):
+            new = F.transform(F.array(moved(x["text"], of)), lambda t: F.struct(t.alias("text"), (cards(t) == of).alias("done")))
+            return F.when(x["done"], x).otherwise(F.get(new, F.lit(0)))
+
+        start = F.struct(m.alias("text"), (F.size(of) == 0).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda x: x["text"])
+
+    return F.get(F.transform(F.array(cards(m)), walk), F.lit(0))
+
+
 def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one match of PATTERN; the match itself if it isn't valid."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = feistel_chars(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", back)
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.when(luhn_sum(digits) % 10 == 0, _into(m, F.concat(body, check))).otherwise(m)
+    card = F.when(m.rlike("[ -]"), _run(m, key, back)).when((F.length(m) >= 13) & (luhn_sum(digits) % 10 == 0), _card(m, key, back)).otherwise(m)
     octet = F.split(m, r"\.")
     o = lambda i: F.get(octet, F.lit(i)).try_cast("bigint")
     hi, lo = feistel_pair(o(0) * 256 + o(1), o(2) * 256 + o(3), 65536, 65536, key, "ip", back)
@@ -129,13 +186,13 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
         .when(m.rlike(rf"^{IP}$"), ip)
         .when(m.rlike(rf"^(?:{DATE})$"), dated)
         .when(m.rlike(rf"^(?:{PHONE})$"), phone)
-        .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when((luhn_sum(digits) % 10 == 0) | ~m.rlike("^[0-9a-f]{16,}$"), card).otherwise(m))
+        .when(m.rlike(RUN), card)
         .otherwise(secret)
     )
 
 
 def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | None = None, back: bool = False) -> DataFrame:
-    """docs with the values of `column` replaced; `count`: a column for the number of values found."""
+    """docs with the values of `column` replaced; `count`: a column for the number of values found (of a run of numbers, its cards)."""
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     docs = docs.withColumn("_found", found)
@@ -144,7 +201,8 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, m: F.concat(p, m)), "")
     docs = docs.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text))
     if count:
-        docs = docs.withColumn(count, F.greatest(F.lit(0), F.coalesce(F.size("_found"), F.lit(0))).cast("long"))
+        values = F.transform("_found", lambda m: F.when(m.rlike(RUN) & ~m.rlike(rf"^(?:{DATE}|{PHONE})$"), F.size(cards(m))).otherwise(1))
+        docs = docs.withColumn(count, F.coalesce(F.aggregate(values, F.lit(0), lambda n, k: n + k), F.lit(0)).cast("long"))
     return docs.drop("_found")
 
 

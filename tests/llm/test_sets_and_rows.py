@@ -128,6 +128,28 @@ def test_pseudonyms_keep_format_and_come_back(spark):
     assert pii.pseudonymize(docs, "other").where("doc_id = 0").head()["text"] != out
 
 
+def test_adjacent_cards_and_capital_secrets(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"]
+    texts = [
+        "7536784127813050 4845168114407329", "4111111111111111 12", "12 4111 1111 1111 1111", "4111-1111-1111-1111 123", "pay 4111111111111111-4111111111111111 3782 822463 10005.",
+        "4111111111111111 10.0.255.1", "4111111111111111 2021-02-28", "4111111111111111 555-123-4567", "4111111111111111 7a@b.org", "4111111111111111 3rd",
+        'TOKEN = "9233A8ECF7C5D01B"', 'Secret: 9233a8ECF7c5d01b TOKEN="9233A8ECF7C5D01B"', "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17", "4111111111111112 12",
+    ]
+    docs = frame(spark, texts)
+    hidden = pii.pseudonymize(docs, "key", count="n")
+    rows = [r for r in hidden.orderBy("doc_id").collect()]
+    for t, r in zip(texts, rows, strict=True):
+        shape = [re.sub("[a-f]", "x", re.sub("[A-F]", "X", re.sub("[0-9]", "0", u))) for u in (t, r["text"])]
+        assert shape[0] == shape[1] or "@" in t or "10.0.255.1" in t
+        for secret in (*cards, "7536784127813050", "4845168114407329", "4111-1111", "10.0.255.1", "2021-02-28", "555-123-4567", "7a@b", "9233A8ECF7C5D01B", "9233a8ECF7c5d01b"):
+            assert secret not in r["text"]
+    assert [r["n"] for r in rows] == [2, 1, 1, 1, 3, 2, 2, 2, 2, 1, 1, 2, 0, 0]
+    assert [rows[i]["text"] for i in (12, 13)] == texts[12:]
+    assert rows[1]["text"].split()[0] == rows[9]["text"].split()[0] == rows[6]["text"].split()[0]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{16}"', rows[10]["text"]) and rows[11]["text"].endswith(rows[10]["text"].replace(" ", "")[5:])
+    assert [r["text"] for r in pii.reveal(hidden, "key").orderBy("doc_id").collect()] == texts
+
+
 def test_packing_invariants(spark):
     rnd = random.Random(5)
     texts = [" ".join("w%d" % rnd.randrange(99) for _ in range(rnd.randrange(120))) for _ in range(150)] + ["same text"] * 30 + ["", None, "big " * 1000]
