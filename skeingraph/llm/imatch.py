@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from skeingraph.llm.common import lower_ascii, table, written
 
 IDF_MIN, IDF_MAX = 3.0, 8.0
-PARTS = 48
+PARTS = 64
 #: Rows of a lexicon that is broadcast, at most.
 BROADCAST_ROWS = 4_000_000
 
@@ -73,8 +73,8 @@ def fingerprints(rows: DataFrame, key: list[str], sides: dict[int, str], band: D
     total = lambda c: F.sum(F.pmod(F.xxhash64("term", "p", c), F.lit(2**31 - 1)))
     parts = exploded.groupBy(*key, "side", "v", "p").agg(F.count("in_band").alias("n"), total("in_band").alias("h_band"), total("v").alias("h_all"))
     parts = parts.withColumn("h_band", F.when(F.col("n") > 0, F.col("h_band")))
-    # Level first, so that sorted codes stand by level: "vv", then the two digits of the part and five of the hash.
-    code = lambda h: F.struct(F.lpad(F.col("v").cast("string"), 2, "0").alias("v"), F.concat(F.lpad(F.col("p").cast("string"), 2, "0"), F.right(F.concat(F.lit("00000"), F.hex(F.xxhash64(h))), F.lit(5))).alias("code"))
+    # Level first, so that sorted codes stand by level: "vv", then the two digits of the part and six of the hash.
+    code = lambda h: F.struct(F.lpad(F.col("v").cast("string"), 2, "0").alias("v"), F.concat(F.lpad(F.col("p").cast("string"), 2, "0"), F.right(F.concat(F.lit("000000"), F.hex(F.xxhash64(h))), F.lit(6))).alias("code"))
     of = lambda s, h, also: F.collect_list(F.when((F.col("side") == s) & also, code(h)))
     found = parts.groupBy(*key).agg(*[x for s in sides for x in (of(s, "h_band", F.col("n") > 0).alias(f"band_{s}"), of(s, "h_all", F.lit(True)).alias(f"all_{s}"))])
     chosen = lambda s: F.when(F.size(f"band_{s}") > 0, F.col(f"band_{s}")).otherwise(F.col(f"all_{s}"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from skeingraph.llm import imatch, pieces, suffixtree, toxicity
 
@@ -159,6 +160,16 @@ def test_fingerprints(spark, tmp_path):
     assert np.mean(half) > 0.1 > np.mean([rows[i]["near_next"] for i in range(1, 60)])
 
 
+def test_fingerprints_use_every_term_of_64_parts(spark):
+    docs = frame(spark, [" ".join(f"w{i}" for i in range(100))])
+    first = [r["p"] for r in docs.select(F.explode(imatch.picks(F.col("text"), 0)).alias("x")).where("x.v = 6").select("x.p").collect()]
+    assert len(first) == 100 and max(first) >= 48
+    band = spark.createDataFrame([], "term long, in_band int")
+    text = imatch.fingerprints(docs, ["doc_id"], {0: "text"}, band, 1).head()["print_0"]
+    codes = text.split(" ")[0].removeprefix("06:").split(".")
+    assert {c[:2] for c in codes} == {f"{p:02d}" for p in first} and {len(c) for c in codes} == {8}
+
+
 def test_no_documents(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert imatch.query(spark, str(tmp_path)).count() == 0
