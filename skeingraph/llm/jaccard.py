@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeingraph.llm.common import Words, mix, planes, table, unplanes, written
@@ -265,6 +265,22 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def row_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with an id, with a number `_row` of each, also where ids repeat; and the _component of each _row.
+
+    A row's number is its doc_id, or a hash for the second and later rows (by text) of one doc_id."""
+    rows = docs.where("doc_id is not null")
+    rank = F.lit(0)
+    repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))) - 1
+    rows = rows.withColumn("_rank", rank).withColumn("_row", F.when(F.col("_rank") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_rank")))
+    if repeated:
+        rows = written(rows, "jaccard-rows")
+    found = near_copies(rows.select(F.col("_row").alias("doc_id"), "text"))
+    return rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents that are the smallest id of their component, with their columns; those without an id stay."""
     kept = near_copies(docs).where("doc_id = component_id").select("doc_id")

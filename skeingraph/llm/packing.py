@@ -14,7 +14,7 @@ dealt over all shards. Each shard leaves its last bins partly filled.
 
 Defined results: a null doc_id takes no part; a null or empty text is one piece of 0
 words; a null source is a source of its own; repeated rows of a doc_id are packed as
-one document each (they share a duplicate cluster if their texts are equal); an empty table gives no rows; extra columns are ignored.
+one document each (they share a duplicate cluster if their texts are copies); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import WORD, table
+from skeingraph.llm import jaccard
+from skeingraph.llm.common import WORD, table, written
 
 CAPACITY = 2048
 SHARD_ROWS = 2000
@@ -84,9 +85,13 @@ def pack_documents(docs: DataFrame, cluster: str | None = None, capacity: int =
     docs = docs.where("doc_id is not null")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", words.alias("words"), key.alias("cluster"), F.xxhash64("source").alias("source"))
+    return pack_rows(docs.select("doc_id", words.alias("words"), key.alias("cluster"), F.xxhash64("source").alias("source")), capacity, shard_rows)
+
+
+def pack_rows(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """As pack_documents; rows: doc_id, words, and numbers for cluster and source."""
     # Every source's share of a shard is near its share of all, as doc_id's hash deals them out.
-    shards = max(1, -(-docs.count() // shard_rows))
+    shards = max(1, -(-rows.count() // shard_rows))
 
     def run(key, pdf):
         import math
@@ -114,5 +119,14 @@ def pack_documents(docs: DataFrame, cluster: str | None = None, capacity: int =
     return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(run, OUT)
 
 
+def pack_near_copies_apart(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """As pack_documents, with the components of near copies (five words, 0.75) as clusters; wordless texts, which link with nothing, by exact text."""
+    rows, found = jaccard.row_components(docs)
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = rows.select("_row", "doc_id", words.alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("exact"), F.xxhash64("source").alias("source"))
+    rows = rows.join(found, "_row").withColumn("cluster", F.when(F.col("words") > 0, F.xxhash64("_component", F.lit(1))).otherwise(F.col("exact")))
+    return pack_rows(written(rows.select("doc_id", "words", "cluster", "source"), "packing-rows"), capacity, shard_rows)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return pack_near_copies_apart(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -171,6 +171,18 @@ def test_packing_invariants(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [words + f" end{i}" for i in range(12)] + ["", "", None] + [f"other{i} text" for i in range(10)]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.query(spark, str(tmp_path)).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["bin_id"]].append(r["doc_id"])
+    assert sorted(x for b in bins.values() for x in b) == list(range(len(texts)))
+    assert all(sum(d < 12 for d in b) <= 1 and sum(12 <= d < 15 for d in b) <= 1 for b in bins.values())
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     rnd = random.Random(6)
     items = [(rnd.randrange(1, 50), g, rnd.randrange(12), rnd.randrange(3)) for g in range(80)]
