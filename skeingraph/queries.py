@@ -371,6 +371,25 @@ def inherited_min_depth(v):
     return graph.inherited_depths(v.symbols.where("kind = 1 and id % 8 = 0"), v.symbol_relations)
 
 
+@query()
+def descendant_calls_all(v):
+    """From all symbols; descendant_calls takes one symbol in 40, as its SQL does."""
+    return graph.callees(v.calls, v.symbols, v.symbols.select("id")).select(*CALL)
+
+
+@query()
+def interface_expansion_all(v):
+    """From all bound interface methods; interface_expansion takes eight, as its SQL does."""
+    roots = v.interface_method_bindings.select(F.col("interface_method_id").alias("root")).distinct()
+    return graph.interface_expansion(roots.withColumn("receiver", F.floor(F.col("root") / 2)), v.symbol_relations, v.interface_method_bindings)
+
+
+@query()
+def inherited_min_depth_all(v):
+    """From all types; inherited_min_depth takes one in eight, as its SQL does."""
+    return graph.inherited_depths(v.symbols.where("kind = 1"), v.symbol_relations)
+
+
 def _involved(v: Views) -> DataFrame:
     s = v.symbols.select("id", "stable_key")
     calls = v.calls.withColumn("reference_kind", F.lit(1)).join(s.select(F.col("id").alias("caller_symbol_id"), F.col("stable_key").alias("caller_key")), "caller_symbol_id")
