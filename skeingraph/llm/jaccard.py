@@ -282,9 +282,13 @@ def row_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their component, with their columns; those without an id stay."""
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component of near copies, with its columns: the smallest id, of a repeated id the first row by text; rows without an id stay.
+
+    Rows are compared each for itself, also where they share an id."""
+    rows, found = row_components(docs)
+    firsts = rows.select("_row", "doc_id", "_rank").join(found, "_row").groupBy("_component").agg(F.min(F.struct("doc_id", "_rank", "_row")).alias("m"))
+    kept = rows.join(firsts.select(F.col("m._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

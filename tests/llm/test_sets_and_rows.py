@@ -171,6 +171,14 @@ def test_packing_invariants(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_near_copies_of_repeated_ids_are_dropped_row_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " end"), (2, b), (3, c), (3, b + " end"), (4, c), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, "s", "x") for d, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.drop_near_copies(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (None, a), (None, a)], key=str)
+
+
 def test_near_copies_do_not_share_a_bin(spark, tmp_path):
     words = " ".join(f"w{i}" for i in range(60))
     texts = [words + f" end{i}" for i in range(12)] + ["", "", None] + [f"other{i} text" for i in range(10)]
