@@ -6,7 +6,8 @@ has to be stored, and `reveal` (the same network backwards) restores them.
 
 * card numbers (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit is computed again. Where several
   numbers stand in a row, separated by one space or hyphen, each group and each row of groups of 3 digits or more is tried, so a
-  neighbour does not hide a card; a pseudonym that would make other groups the row's cards is permuted once more;
+  neighbour does not hide a card; a pseudonym that would make other groups the row's cards is permuted again, at most WALK times in all, so there a card's pseudonym may differ
+  from the one it has alone, and after WALK steps may not come back. Cards in groups of 1 or 2 digits are found only where they are the whole row;
 * IPv4 addresses (four octets): a permutation of 32 bits, halves of 16;
 * dates (YYYY-MM-DD, D/M/YYYY, D.M.YYYY; real dates of 1700 to 2099): the number of the day among
   the 146,097 of that Gregorian cycle is permuted as 27 x 5411, so one date in two formats stays one date;
