@@ -34,29 +34,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import Words, mix, planes, table, unplanes, written
+from skeingraph.llm.common import map_texts, mix, planes, table, unplanes, word_hashes, written
 
 SHINGLE, PERCENT = 5, 75
 #: The maps have 2**BITS bits and 2**CLASS_BITS classes, whatever the input; least number of counting buckets (a power of two).
 BITS, CLASS_BITS, BUCKETS = 27, 25, 128
 #: Shingles that a map task holds before it sends them.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Edges that one task may join, at most.
 ONE_TASK = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of all runs of `size` words; fewer words are one run."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    k = min(size, n)
-    h = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h + words[i : n - k + 1 + i]) * _ODD[i % 5]
-        h ^= h >> np.uint64(31)
-    return np.unique(mix(h))
+def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE):
+    """Sorted distinct hashes of all runs of `size` words of each text; a text of fewer words is one run. hashes: words of all texts, counts: words of each."""
+    n = len(hashes)
+    if n >= size:
+        h = np.full(n - size + 1, size, np.uint64)
+        for i in range(size):
+            h = (h + hashes[i : n - size + 1 + i]) * _ODD[i % 5]
+            h ^= h >> np.uint64(31)
+        h = mix(h)
+    at = 0
+    for k in counts.tolist():
+        if k >= size:
+            yield np.unique(h[at : at + k - size + 1])
+        elif k:
+            one = np.full(1, k, np.uint64)
+            for i in range(k):
+                one = (one + hashes[at + i : at + i + 1]) * _ODD[i % 5]
+                one ^= one >> np.uint64(31)
+            yield mix(one)
+        else:
+            yield hashes[:0]
+        at += k
 
 
 def least_overlap(n, m, percent: int = PERCENT):
@@ -76,10 +87,9 @@ def _counted(docs: DataFrame, size: int) -> dict[str, bytearray]:
         return pd.DataFrame(rows, columns=["bucket", "block"])
 
     def run(batches):
-        words, held, n = Words(), [], 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                s = shingles(words(t), size)
+        held, n = [], 0
+        for batch in batches:
+            for s in shingles(*word_hashes(batch.column(0)), size):
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 n += len(s)
                 if n >= HELD:
@@ -100,7 +110,7 @@ def _counted(docs: DataFrame, size: int) -> dict[str, bytearray]:
         np.maximum.at(kind, at(CLASS_BITS), np.minimum(15, np.log2(times)).astype(np.uint8))
         return pd.DataFrame([(int(key[0]), np.packbits(shared).tobytes(), (kind[::2] << 4 | kind[1::2]).tobytes())], columns=["bucket", "shared", "kind"])
 
-    rows = docs.select("text").mapInPandas(run, "bucket int, block binary").groupBy("bucket").applyInPandas(count, "bucket int, shared binary, kind binary").toLocalIterator()
+    rows = map_texts(docs.select("text"), run, "bucket int, block binary").groupBy("bucket").applyInPandas(count, "bucket int, shared binary, kind binary").toLocalIterator()
     maps = {"shared": bytearray((1 << BITS) // 8), "kind": bytearray((1 << CLASS_BITS) // 2)}
     for r in rows:
         for name, m in maps.items():
@@ -115,13 +125,11 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     maps = docs.sparkSession.sparkContext.broadcast(_counted(docs, size))
 
     def run(batches):
-        words = Words()
         shared, kinds = (np.frombuffer(maps.value[x], np.uint8) for x in ("shared", "kind"))
 
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = shingles(words(t), size)
+            for d, s in zip(batch.column(0).to_pylist(), shingles(*word_hashes(batch.column(1)), size), strict=True):
                 n = len(s)
                 k1, k2 = (int(x) for x in (s.sum(dtype=np.uint64).view(np.int64), mix(s ^ _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
                 at = (s >> np.uint64(64 - BITS)).astype(np.int64)
@@ -138,7 +146,7 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 rows.append((d, n, k1, k2, tokens.view(np.int64), pos.astype(np.int32), s.tobytes() if len(tokens) else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "tokens", "positions", "whole"])
 
-    return docs.mapInPandas(run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary")
+    return map_texts(docs, run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary")
 
 
 def _ends(key, pdf):
