@@ -35,6 +35,24 @@ VIEWS = {
     "declarations": """SELECT doc_id AS id, CONCAT('d', CAST(doc_id AS VARCHAR(20))) AS declaration_key, doc_id % 100 + 1 AS symbol_id, doc_id AS document_id, source AS document_key,
         CAST(doc_id % 3 + 1 AS INT) AS declaration_role, CAST(n_chars % 97 AS INT) AS source_start, 10 AS source_length, lang = 'fr' AS is_generated FROM {documents}""",
     "files": "SELECT doc_id AS id, CONCAT(source, '/', lang, '/', CAST(doc_id AS VARCHAR(20)), '.cs') AS normalized_path, text AS source_text, lang = 'fr' AS is_generated, doc_id % 20 AS project_id FROM {documents}",
+    # For the query service: symbols with generic types and parameter lists, declarations of their own, and calls of all order lines.
+    "code_symbols": """SELECT p_partkey AS id, 1 AS analysis_profile_id, CASE WHEN p_size % 5 = 0 THEN 1 WHEN p_size % 7 = 1 THEN 3 ELSE 2 END AS kind, REPLACE(p_name, ' ', '_') AS name,
+        CASE WHEN p_size % 11 = 0 THEN 'System.IO' ELSE CONCAT('Ns', CAST(p_size % 7 AS VARCHAR(2))) END AS namespace_name,
+        CONCAT(REPLACE(p_brand, '#', ''), CASE WHEN p_size % 4 = 0 THEN '<T>' WHEN p_size % 4 = 1 THEN '.Inner<A,B>' ELSE '' END) AS type_identity_path,
+        CONCAT(REPLACE(p_brand, '#', ''), CASE WHEN p_size % 4 = 0 THEN '<T>' WHEN p_size % 4 = 1 THEN '.Inner<A,B>' ELSE '' END) AS type_display_path,
+        CONCAT(REPLACE(p_name, ' ', '_'), CASE p_partkey % 4 WHEN 0 THEN '()' WHEN 1 THEN '(System.Int32)' WHEN 2 THEN '<T>(System.Int32)' ELSE '(System.String,System.Int32)' END) AS executable_identity_path,
+        CONCAT(REPLACE(p_name, ' ', '_'), CASE p_partkey % 4 WHEN 0 THEN '()' WHEN 1 THEN '(int)' WHEN 2 THEN '<T>(int)' ELSE '(string, int)' END) AS executable_display_path,
+        CONCAT('k', CAST(p_partkey AS VARCHAR(20))) AS stable_key, CASE WHEN p_size = 1 THEN 5 WHEN p_size = 2 THEN 2 ELSE 0 END AS async_role,
+        CASE WHEN p_partkey > 1 THEN CAST(FLOOR(p_partkey / 2.0) AS BIGINT) END AS containing_symbol_id, CASE WHEN p_partkey % 3 > 0 THEN p_partkey END AS preferred_declaration_id,
+        CASE WHEN p_size % 5 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 7 ELSE 2 END END AS type_kind FROM {part}""",
+    "code_declarations": """SELECT doc_id AS id, CONCAT('d', CAST(doc_id AS VARCHAR(20))) AS declaration_key, doc_id AS symbol_id, doc_id AS document_id, CAST(doc_id % 3 + 1 AS INT) AS declaration_role,
+        CAST(n_chars % 97 AS INT) AS source_start, 10 AS source_length, lang = 'fr' AS is_generated FROM {documents}""",
+    "code_calls": """SELECT x.l_partkey * 10000000 + y.l_partkey AS id, 1 AS analysis_profile_id, x.l_partkey AS caller_symbol_id, y.l_partkey AS callee_definition_id, y.l_partkey AS callee_symbol_id,
+        MIN(x.l_orderkey) % 100 AS document_id, CAST(MIN(x.l_linenumber) AS INT) AS source_start, CAST(MAX(x.l_quantity) AS INT) AS source_length,
+        CASE WHEN MIN(x.l_linestatus) = 'O' THEN 3 ELSE 1 END AS reference_kind, 1 AS dispatch_kind, 1 AS resolution_status, 0 AS resolution_reason,
+        CAST(MIN(x.l_linenumber) % 7 AS INT) AS async_usage_kind, CAST(NULL AS VARCHAR(10)) AS unresolved_name
+        FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_partkey <> y.l_partkey GROUP BY x.l_partkey, y.l_partkey""",
+    "code_candidates": "SELECT id AS call_id, CASE WHEN caller_symbol_id > 9 THEN caller_symbol_id - 7 ELSE caller_symbol_id END AS candidate_symbol_id FROM {code_calls} WHERE source_start = 2",
     "conditional_symbols_used": "SELECT 1 AS analysis_profile_id, user_id AS document_id, event_type AS symbol_name, COUNT(*) AS occurrence_count FROM {events} GROUP BY user_id, event_type",
 }
 

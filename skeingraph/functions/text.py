@@ -88,6 +88,45 @@ def input_fingerprint(files: DataFrame) -> bytes:
     return digest.digest()
 
 
+def project_fingerprint(header: list[str], project_file: bytes | None, references: list[tuple[str, list[str], bool]], documents: DataFrame, generated: list[tuple[str, int, bytes]] = ()) -> bytes:
+    """Hash over what a project is made from: its header values, its file, references (identity, aliases, embedded) in order, its documents (path, text) by upper-cased path, and compiled-only generated ones (name, kind, hash).
+
+    Documents are hashed on the executors; a path and 32 bytes of each reach the driver, one at a time."""
+    digest = hashlib.sha256()
+    add = lambda *values: digest.update("".join(f"{v}\0" for v in values).encode())
+    add(*header)
+    digest.update(hashlib.sha256(project_file).digest() if project_file is not None else b"\0")
+    for identity, aliases, embedded in sorted((i, sorted(a), e) for i, a, e in references):
+        add(identity, ",".join(aliases), embedded)
+    rows = documents.select("path", F.upper("path").alias("upper"), F.sha2("text", 256).alias("hash")).orderBy("upper", "path")
+    for r in rows.toLocalIterator():
+        add(r["path"], r["hash"])
+    for name, kind, content in sorted(generated, key=lambda g: (g[0], g[1], g[2].hex())):
+        add("compilation-only-generated", name, kind, content.hex())
+    return digest.digest()
+
+
+def stable_key(profile: Column, assembly: Column, framework: Column, identity: Column, project: Column | None = None) -> Column:
+    """A symbol's key: profile, assembly, perhaps a project, framework, and its documentation id or what stands for it."""
+    scope = F.lit("") if project is None else F.coalesce(F.concat(F.lit("|project:"), project), F.lit(""))
+    return F.concat(F.lit("profile:"), profile, F.lit("|assembly:"), F.coalesce(assembly, F.lit("source")), scope, F.lit("|tfm:"), F.coalesce(framework, F.lit("unknown")), F.lit("|"), identity)
+
+
+def declaration_key(symbol: Column, path: Column, start: Column, length: Column, role: Column) -> Column:
+    return F.concat(symbol, F.lit("|declaration:"), F.concat_ws(":", path, start.cast("string"), length.cast("string"), role.cast("string")))
+
+
+def synthetic_key(owner: Column, path: Column, kind: Column, start: Column, length: Column, content_hash: Column) -> Column:
+    """The key of what has no name, such as a lambda: its place in a version of a document."""
+    return F.concat(owner, F.lit("|document:"), path, F.lit("|kind:"), kind, F.lit("|span:"), start.cast("string"), F.lit(":"), length.cast("string"), F.lit("|version:"), F.hex(content_hash))
+
+
+def local_function_key(containing: Column, segment: Column, path: Column, start: Column, length: Column) -> Column:
+    ok = (F.trim(containing) != "") & (F.trim(path) != "") & (start >= 0) & (length >= 0)
+    key = F.concat(containing, F.lit("|local:"), segment, F.lit("|document:"), path, F.lit("|span:"), start.cast("string"), F.lit(":"), length.cast("string"))
+    return F.when(ok, key).otherwise(F.raise_error(F.lit("a local function needs an owner, a document and a span")))
+
+
 def request_hash(options: dict, versions: tuple[int, int, int]) -> bytes:
     return hashlib.sha256(json.dumps({"options": options, "versions": versions}, sort_keys=True).encode()).digest()
 
@@ -101,7 +140,7 @@ def generation_kind(path: Column, text: Column) -> Column:
         F.when(name.rlike(r"(?i)\.assemblyattributes\.cs$"), 4)
         .when(name.rlike(r"(?i)\.(?:g|generated|designer)\.cs$"), 1)
         .when(folders.rlike(r"(?i)/(?:generated|generatedcode)/"), 3)
-        .when(head.contains("<auto-generated") | head.contains("<autogenerated"), 2)
+        .when(head.contains("<auto-generated>") | head.contains("<autogenerated>"), 2)
         .otherwise(0)
     )
 
@@ -157,6 +196,31 @@ def signature(accessibility: Column, is_static: Column, is_async: Column, return
     return F.concat_ws(" ", accessibility, F.when(is_static, "static"), F.when(is_async, "async"), returns, name)
 
 
+#: Return types by metadata name that give an async role.
+AWAITABLE = [
+    "System.Threading.Tasks.Task", "System.Threading.Tasks.Task`1", "System.Threading.Tasks.ValueTask", "System.Threading.Tasks.ValueTask`1",
+    "Cysharp.Threading.Tasks.UniTask", "Cysharp.Threading.Tasks.UniTask`1",
+]
+ASYNC_ENUMERABLE = ["System.Collections.Generic.IAsyncEnumerable`1", "Cysharp.Threading.Tasks.IUniTaskAsyncEnumerable`1"]
+UNITASK_VOID = ["Cysharp.Threading.Tasks.UniTaskVoid"]
+
+
+def async_role(is_async: Column, returns_void: Column, is_iterator: Column, return_type: Column) -> Column:
+    """Async roles that a signature shows; return_type: the metadata name of the original definition."""
+    bit = lambda cond, value: F.when(F.coalesce(cond, F.lit(False)), value).otherwise(0)
+    parts = [bit(is_async, 1), bit(is_async & returns_void, 32), bit(is_async & is_iterator, 8), bit(return_type.isin(AWAITABLE), 2), bit(return_type.isin(ASYNC_ENUMERABLE), 16), bit(return_type.isin(UNITASK_VOID), 64)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
+
+
+def dispatch_kind(owner_type_kind: Column, is_virtual: Column, is_abstract: Column, is_override: Column) -> Column:
+    """Interface, virtual or static dispatch of a call, from its method."""
+    late = F.coalesce(is_virtual, F.lit(False)) | F.coalesce(is_abstract, F.lit(False)) | F.coalesce(is_override, F.lit(False))
+    return F.when(owner_type_kind == 7, 3).when(late, 2).otherwise(1)
+
+
 def has_role(role: Column, mask: int) -> Column:
     return role.bitwiseAND(int(mask)) != 0
 

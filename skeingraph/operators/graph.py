@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeingraph.operators.ordering import ordinal
-from skeingraph.schema import CALL_KINDS, CallerScope, DispatchSearch, ReferenceKind, RelationKind, ResolutionStatus, SymbolKind, TypeKind
+from skeingraph.schema import CALL_KINDS, EXECUTABLE, CallerScope, DispatchSearch, ReferenceKind, RelationKind, ResolutionStatus, SymbolKind, TypeKind
 from skeingraph.session import ranked, written
 
 
@@ -118,6 +118,27 @@ def call_edges(calls: DataFrame) -> DataFrame:
     return x.groupBy(F.col("caller_symbol_id").alias("caller"), F.col("callee_definition_id").alias("callee")).agg(first.alias("site"))
 
 
+def source_backed_executables(symbols: DataFrame, declarations: DataFrame) -> DataFrame:
+    """What an async graph may hold: executable symbols whose preferred declaration is one of their own."""
+    own = declarations.select(F.col("id").alias("preferred_declaration_id"), F.col("symbol_id").alias("id"))
+    return symbols.where(F.col("kind").isin([int(k) for k in EXECUTABLE])).join(own, ["preferred_declaration_id", "id"], "left_semi").select(*symbols.columns)
+
+
+def tree_eligible(symbols: DataFrame, declarations: DataFrame, documents: DataFrame) -> DataFrame:
+    """symbols with `eligible`, what a caller tree may hold: executable, with a document, and outside of System."""
+    place = declarations.select(F.col("id").alias("preferred_declaration_id"), "document_id").join(documents.where("normalized_path is not null").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    rows = symbols.join(place.select("preferred_declaration_id", F.lit(True).alias("_placed")), "preferred_declaration_id", "left")
+    system = (F.col("namespace_name") == "System") | F.col("namespace_name").startswith("System.")
+    ok = F.col("kind").isin([int(k) for k in EXECUTABLE]) & F.coalesce("_placed", F.lit(False)) & ~F.coalesce(system, F.lit(False))
+    return rows.select(*symbols.columns, ok.alias("eligible"))
+
+
+def depths(origins: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth: steps of the shortest way from each caller to an origin (one column of ids). Without places in queues, a level is one join, one anti join and one write."""
+    steps = edges.select(F.col("callee").alias("source"), F.col("caller").alias("target"))
+    return closure(origins.toDF("node"), written(steps.distinct(), "steps")).select(F.col("node").alias("id"), "depth")
+
+
 def propagate(origins: DataFrame, edges: DataFrame) -> DataFrame:
     """id, depth, next: the shortest way from each caller to an origin, as a breadth-first search with ordered queues finds it.
 
@@ -154,20 +175,29 @@ class NextHopPath:
 def next_hop_path(involved: DataFrame, root: int, max_nodes: int = 500) -> NextHopPath | None:
     """The stored way from root (id, depth, next) to an origin, at most max_nodes of it; None if root has no depth.
 
-    A way has as many rows as its depth, so it is followed in steps of one lookup on the driver; each next hop is checked before the cut."""
-    find = lambda i: involved.where(F.col("id") == i).select("depth", "next").head()
-    here = find(root)
+    Pointers are doubled: each round one self-join of the rows that are nearer than root doubles the steps that are known, so the plan has the logarithm of
+    the cap as its number of rounds, and only the way's own rows, max_nodes + 1 at most, reach the driver. Each next hop is checked before the cut."""
+    here = involved.where(F.col("id") == root).select("depth", "next").head()
     if here is None or here["depth"] is None:
         return None
+    spark = involved.sparkSession
+    # Only rows not farther than root can be on a valid way; a broken one leaves it at once.
+    rows = written(involved.where((F.col("depth") <= here["depth"]) & (F.col("depth") >= max(0, here["depth"] - max_nodes))).select("id", "depth", "next"), "hops")
+    far = rows.where("next is not null").select("id", F.col("next").alias("to"))
+    way, steps = spark.createDataFrame([(root, 0)], "id long, place int"), 1
+    while steps <= min(max_nodes, here["depth"]):
+        # What is known at places 0 to steps - 1, and what lies `steps` hops after each.
+        way = written(way.unionByName(way.join(far, "id").select(F.col("to").alias("id"), (F.col("place") + steps).alias("place"))), "way")
+        far = written(far.join(far.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")), "hops")
+        steps *= 2
+    found = {r["place"]: (r["id"], r["depth"]) for r in way.where(F.col("place") <= max_nodes).join(rows.select("id", "depth"), "id", "left").collect()}
     nodes = [root]
-    while here["depth"] > 0:
-        step = find(here["next"]) if here["next"] is not None else None
-        if step is None or step["depth"] != here["depth"] - 1:
+    for place in range(1, here["depth"] + 1):
+        if found.get(place, (None, None))[1] != here["depth"] - place:
             raise BrokenPath(f"symbol {nodes[-1]} has no valid next hop")
         if len(nodes) == max_nodes:
             return NextHopPath(nodes, True)
-        nodes.append(here["next"])
-        here = step
+        nodes.append(found[place][0])
     return NextHopPath(nodes, False)
 
 

@@ -50,11 +50,13 @@ def of_kinds(df: DataFrame, column: str, kinds: Iterable[int] | None) -> DataFra
     return df.where(F.col(column).isin(kinds)) if kinds else df
 
 
-def generated_edges(df: DataFrame, mode: int) -> DataFrame:
-    """By the generated flag of the call's document."""
-    if mode == GeneratedFilter.EXCLUDE:
-        return df.where(~F.col("is_generated"))
-    return df.where("is_generated") if mode == GeneratedFilter.ONLY else df
+def generated_edges(df: DataFrame, mode: int, documents: DataFrame | None = None) -> DataFrame:
+    """By the generated flag of the call's document; without documents, by a flag that the calls carry."""
+    if mode == GeneratedFilter.INCLUDE:
+        return df
+    if documents is None:
+        return df.where(F.col("is_generated") == (mode == GeneratedFilter.ONLY))
+    return df.join(documents.where(F.col("is_generated") == (mode == GeneratedFilter.ONLY)).select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*df.columns)
 
 
 def generated_roots(symbols: DataFrame, declarations: DataFrame, mode: int) -> DataFrame:
@@ -117,15 +119,20 @@ def endpoints(frames: Iterable[tuple[DataFrame, Iterable[str]]], symbols: DataFr
     return symbols.join(ids, "id", "left_semi")
 
 
-def innermost(intervals: DataFrame, positions: DataFrame, width: int = 4096) -> DataFrame:
+def innermost(intervals: DataFrame, positions: DataFrame) -> DataFrame:
     """For each position (document_id, position) the shortest interval (document_id, id, source_start, source_length) that covers it, ends included; ties go to the smaller id.
 
-    Both sides are cut into cells of `width` offsets, so the join is by key and only what shares a cell is compared."""
+    Intervals fall into classes by length: of class k, cells of 2**k offsets are longer than the interval, which so lies in two of them at most.
+    A position asks one cell of each class that its document has, so the join is by key and what an interval costs does not depend on its length."""
     end = F.col("source_start") + F.col("source_length")
-    cells = F.sequence(F.floor(F.col("source_start") / width), F.floor(end / width))
-    i = intervals.select("document_id", "id", "source_start", "source_length", F.explode(cells).alias("cell"))
-    p = positions.select("document_id", "position", F.floor(F.col("position") / width).alias("cell")).distinct()
-    hits = p.join(i, ["document_id", "cell"]).where((F.col("source_start") <= F.col("position")) & (end >= F.col("position")))
+    k = F.length(F.bin(F.greatest(F.col("source_length"), F.lit(1)).cast("long"))).alias("k")
+    i = intervals.select("document_id", "id", "source_start", "source_length", k)
+    width = F.expr("shiftleft(CAST(1 AS BIGINT), k)")
+    cells = F.array_distinct(F.array(F.floor(F.col("source_start") / width), F.floor(end / width)))
+    i = i.select("document_id", "id", "source_start", "source_length", "k", F.explode(cells).alias("cell"))
+    classes = i.select("document_id", "k").distinct()
+    p = positions.select("document_id", "position").distinct().join(classes, "document_id").withColumn("cell", F.floor(F.col("position") / width))
+    hits = p.join(i, ["document_id", "k", "cell"]).where((F.col("source_start") <= F.col("position")) & (end >= F.col("position")))
     return hits.groupBy("document_id", "position").agg(F.min(F.struct("source_length", "id", "source_start")).alias("m")).select("document_id", "position", "m.id", "m.source_start", "m.source_length")
 
 

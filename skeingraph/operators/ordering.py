@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeingraph.session import ranked
@@ -54,19 +54,45 @@ def symbol_ranks(symbols: DataFrame) -> DataFrame:
     return ranked(symbols, symbol_order(), "sym_rank").select("id", "sym_rank")
 
 
-def call_order(calls: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Calls sorted by caller, target (definition before symbol, unresolved last), path, start, length, codes, name, id."""
+def _with_call_ranks(calls: DataFrame, ranks: DataFrame) -> tuple[DataFrame, list[Column]]:
     caller = ranks.select(F.col("id").alias("caller_symbol_id"), F.col("sym_rank").alias("caller_rank"))
     target = ranks.select(F.col("id").alias("target_id"), F.col("sym_rank").alias("target_rank"))
-    rows = calls.withColumn("target_id", F.coalesce("callee_definition_id", "callee_symbol_id")).join(caller, "caller_symbol_id", "left").join(target, "target_id", "left")
+    rows = calls.withColumn("target_id", F.coalesce("callee_definition_id", "callee_symbol_id")).join(caller, "caller_symbol_id", "left").join(target, "target_id", "left").drop("target_id")
     codes = [F.asc(c) for c in ("reference_kind", "dispatch_kind", "resolution_status", "resolution_reason", "async_usage_kind")]
-    return rows.orderBy(F.asc("caller_rank"), F.asc_nulls_last("target_rank"), ordinal("normalized_path").asc(), F.asc("source_start"), F.asc("source_length"), *codes, ordinal("unresolved_name").asc_nulls_last(), F.asc("id")).drop("target_id")
+    order = [F.asc("caller_rank"), F.asc_nulls_last("target_rank"), ordinal("normalized_path").asc(), F.asc("source_start"), F.asc("source_length"), *codes, ordinal("unresolved_name").asc_nulls_last(), F.asc("id")]
+    return rows, order
 
 
-def relation_order(relations: DataFrame, ranks: DataFrame) -> DataFrame:
+def call_order(calls: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Calls sorted by caller, target (definition before symbol, unresolved last), path, start, length, codes, name, id."""
+    rows, order = _with_call_ranks(calls, ranks)
+    return rows.orderBy(*order)
+
+
+def call_places(calls: DataFrame, ranks: DataFrame, name: str = "place") -> DataFrame:
+    """Calls with their place, from 1, in call_order."""
+    rows, order = _with_call_ranks(calls, ranks)
+    return ranked(rows, order, name).drop("caller_rank", "target_rank")
+
+
+def _with_relation_ranks(relations: DataFrame, ranks: DataFrame) -> DataFrame:
     a = ranks.select(F.col("id").alias("source_symbol_id"), F.col("sym_rank").alias("source_rank"))
     b = ranks.select(F.col("id").alias("target_symbol_id"), F.col("sym_rank").alias("target_rank"))
-    return relations.join(a, "source_symbol_id").join(b, "target_symbol_id").orderBy("source_rank", "target_rank", "relation_kind")
+    return relations.join(a, "source_symbol_id").join(b, "target_symbol_id")
+
+
+def relation_order(relations: DataFrame, ranks: DataFrame) -> DataFrame:
+    return _with_relation_ranks(relations, ranks).orderBy("source_rank", "target_rank", "relation_kind")
+
+
+def relation_places(relations: DataFrame, ranks: DataFrame, name: str = "place") -> DataFrame:
+    """Relations with their place, from 1, in relation_order."""
+    return ranked(_with_relation_ranks(relations, ranks), [F.asc("source_rank"), F.asc("target_rank"), F.asc("relation_kind")], name).drop("source_rank", "target_rank")
+
+
+def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Of rows that repeat a key, the first in the order given."""
+    return rows.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_first = 1").drop("_first")
 
 
 def tree_node_order() -> list[Column]:

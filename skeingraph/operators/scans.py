@@ -22,13 +22,25 @@ def in_profile(df: DataFrame, profile: int) -> DataFrame:
     return df.where(F.col("analysis_profile_id") == profile)
 
 
-def symbol_scan(symbols: DataFrame, name: str | None = None, type_path: str | None = None, kinds: Iterable[int] | None = None, source_only: bool = False) -> DataFrame:
-    """Symbols by exact name, exact type path and kinds; source_only: those with a preferred declaration."""
+def symbol_scan(
+    symbols: DataFrame, name: str | None = None, type_path: str | None = None, kinds: Iterable[int] | None = None, source_only: bool = False, declarations: DataFrame | None = None, documents: DataFrame | None = None
+) -> DataFrame:
+    """Symbols by exact name, exact type path and kinds; source_only: as `source_backed`."""
     out = symbols
     for column, value in (("name", name), ("type_identity_path", type_path)):
         out = out.where(F.col(column) == value) if value is not None else out
     out = out.where(F.col("kind").isin([int(k) for k in kinds])) if kinds else out
-    return out.where(F.col("preferred_declaration_id").isNotNull()) if source_only else out
+    return source_backed(out, declarations, documents) if source_only else out
+
+
+def source_backed(symbols: DataFrame, declarations: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """Symbols with a preferred declaration that has a document, and with a declaration of their own; without the tables, of the first alone."""
+    out = symbols.where(F.col("preferred_declaration_id").isNotNull())
+    if declarations is None:
+        return out
+    preferred = declarations if documents is None else declarations.join(documents.where("normalized_path is not null").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    out = out.join(preferred.select(F.col("id").alias("preferred_declaration_id")), "preferred_declaration_id", "left_semi")
+    return out.join(declarations.select(F.col("symbol_id").alias("id")), "id", "left_semi").select(*symbols.columns)
 
 
 def executables(symbols: DataFrame, name: str | None = None, kind: int | None = None) -> DataFrame:

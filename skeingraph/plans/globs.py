@@ -57,24 +57,24 @@ def file(pattern: str, ignore_case: bool = False) -> str:
 
 
 def exclude(pattern: str) -> str:
-    """Input excludes: `**/` any folders, `**` anything, `*` within a part, `?` one character; always without regard to case."""
+    """Input excludes: `**/` any folders, `**` anything, `*` within a part, `?` one character; always without regard to case. Leading slashes of pattern and path don't count."""
     names = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    out = "".join(names.get(p, quoted(p)) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern.replace("\\", "/")))
-    return f"(?i)^{out}$"
+    out = "".join(names.get(p, quoted(p)) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern.replace("\\", "/").lstrip("/")))
+    return f"(?i)^/*{out}$"
 
 
-def hierarchy(parts: list[tuple[str, int | None]], any_owner: bool = False) -> str:
+def hierarchy(parts: list[tuple[str, int | None]], any_owner: bool = False, literal: bool = False, ignore_case: bool = False) -> str:
     """Over an encoded path: one (name pattern, arity) for each component; `*` one component, `**` none or several.
 
-    No arity: 0, or any if the name has a star. any_owner: further components may stand before."""
+    No arity: 0, or any if the name has a star. any_owner: further components may stand before. literal: stars are plain characters."""
     out = rf"(?:[^{END}]*{END})*" if any_owner else ""
     for name, arity in parts:
-        if name == "**":
+        if name == "**" and not literal:
             out += rf"(?:[^{END}]*{END})*"
         else:
-            n = str(arity) if arity is not None else "[0-9]+" if "*" in name else "0"
-            out += _within(name, f"[^{END}{ARITY}]") + ARITY + n + END
-    return rf"(?s)\A{out}\z"
+            n = str(arity) if arity is not None else "[0-9]+" if "*" in name and not literal else "0"
+            out += (quoted(name) if literal else _within(name, f"[^{END}{ARITY}]")) + ARITY + n + END
+    return rf"{'(?isu)' if ignore_case else '(?s)'}\A{out}\z"
 
 
 def encode(components: list[tuple[str, int]]) -> str:

@@ -3,7 +3,7 @@
 `Owner::Member` (owner: the end of namespace and type, dotted) or `Ns::Type::Member`
 (matched as a whole; `global` is the empty namespace). Members are dotted segments: `Name`, `Name<T>`, `Name(types)`,
 `[constructor]`, `[operator:+]`, `[get:Name]`, `[explicit:I.M]`, `<lambda#1>`, `<initializer:Name>`, `<top-level-statements>`
-and others of these forms. No parameter list: all overloads; `()`: none.
+and others of these forms. No parameter list: all overloads; `()`: none. A segment `*` is any one segment, `**` none or several, as often as wanted.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _segment(text: str) -> Segment:
         m = SPECIAL.fullmatch(text[1:close])
         if not m or (m["op"] and m["op"] not in OPERATORS):
             raise SelectorError(f"unknown special member {text!r}")
-        kind, name, rest = "special", text[1:close], text[close + 1 :]
+        kind, name, rest = "special", _special(text[1:close]), text[close + 1 :]
     elif synthetic:
         kind, name, rest = "synthetic", synthetic[0], text[close + 1 :]
     else:
@@ -107,6 +107,12 @@ def _segment(text: str) -> Segment:
     return Segment(kind, name, arity, tuple(p.strip() for p in split_top(inner, ",")) if inner else ())
 
 
+def _special(name: str) -> str:
+    """A conversion's target spelled out, as it is stored."""
+    m = re.fullmatch(r"((?:checked-)?conversion:(?:implicit|explicit)):(.+)", name)
+    return f"{m[1]}:{_forms(m[2])[0]}" if m and "*" not in m[2] else name
+
+
 def _matching(text: str) -> int:
     depth = 0
     for i, c in enumerate(text):
@@ -141,6 +147,10 @@ def _forms(t: str) -> list[str]:
     t = t.strip()
     if t.endswith("?"):
         return [x for f in _forms(t[:-1]) for x in ([f"System.Nullable<{f}>"] if f in VALUE_TYPES else [f"System.Nullable<{f}>", f])]
+    if t.startswith("(") and t.endswith(")"):
+        # A tuple, whose names don't count.
+        items = [re.fullmatch(r"(.*[^\s])\s+@?[\w]+", p.strip()) or re.fullmatch(r"(.*)", p.strip()) for p in split_top(t[1:-1], ",")]
+        return [f"System.ValueTuple<{','.join(_forms(m[1])[0] for m in items)}>"]
     if m := re.fullmatch(r"(.+?)((?:\[[,\s]*\]|\*)+)", t):
         return [f + re.sub(r"\s", "", m[2]) for f in _forms(m[1])]
     if m := re.fullmatch(r"([^<]+)<(.*)>", t):
@@ -153,38 +163,52 @@ def _param(keys: Column, i: int, text: str) -> Column:
     return F.get(keys, F.lit(i)).isin([f"{kind}:{key}" for key, kind in type_keys(text)])
 
 
-def compile(selector: Selector) -> Column:
+def compile(selector: Selector, ignore_case: bool = False) -> Column:
     """Over encoded rows: owner_ns, owner_type (globs.encode), members (an array of struct<kind, name, arity, params>), from `encoded`."""
     if selector.explicit:
         cond = F.col("owner_ns").rlike(globs.hierarchy(list(selector.namespace))) & F.col("owner_type").rlike(globs.hierarchy(list(selector.owner)))
     else:
         cond = F.concat("owner_ns", "owner_type").rlike(globs.hierarchy(list(selector.owner), any_owner=True))
-    if not selector.members:
-        return cond
-    fixed = [m for m in selector.members if not (m.kind == "named" and m.name == "**")]
-    if len(fixed) == len(selector.members):
-        cond &= F.size("members") == len(fixed)
-        for i, m in enumerate(fixed):
-            cond &= _segment_condition(F.get("members", F.lit(i)), m)
+    return cond & members_condition(selector.members, ignore_case=ignore_case) if selector.members else cond
+
+
+def _any_run(m: Segment) -> bool:
+    return m.kind == "named" and m.name == "**" and m.params is None and m.arity is None
+
+
+def members_condition(segments: tuple[Segment, ...], literal: bool = False, ignore_case: bool = False) -> Column:
+    """The whole of `members` matches the segments.
+
+    A fold over the members carries one flag for each number of segments that may be used up so far, so `**` never backtracks."""
+    runs = [not literal and _any_run(m) for m in segments]
+    if not any(runs):
+        cond = F.size("members") == len(segments)
+        for i, m in enumerate(segments):
+            cond &= _segment_condition(F.get("members", F.lit(i)), m, literal, ignore_case)
         return cond
-    # With `**`, positions are tried from the left for the segments before it and from the right for those after the last one.
-    first = next(i for i, m in enumerate(selector.members) if m.name == "**")
-    last = max(i for i, m in enumerate(selector.members) if m.name == "**")
-    if first != last:
-        raise SelectorError("one ** segment at most")
-    after = len(selector.members) - last - 1
-    cond &= F.size("members") >= len(fixed)
-    for i, m in enumerate(selector.members[:first]):
-        cond &= _segment_condition(F.get("members", F.lit(i)), m)
-    for i, m in enumerate(selector.members[last + 1 :]):
-        cond &= _segment_condition(F.get("members", F.size("members") - after + i), m)
-    return cond
-
-
-def _segment_condition(s: Column, m: Segment) -> Column:
-    if m.kind == "named" and m.name == "*" and m.params is None and m.arity is None:
+
+    def through(flags):
+        # A run may also stand for nothing.
+        for i, run in enumerate(runs):
+            if run:
+                flags[i + 1] = flags[i + 1] | flags[i]
+        return F.array(*flags)
+
+    def step(a, x):
+        flags = [F.lit(False)]
+        for i, (m, run) in enumerate(zip(segments, runs, strict=True)):
+            flags.append(F.get(a, F.lit(i + 1)) if run else F.get(a, F.lit(i)) & _segment_condition(x, m, literal, ignore_case))
+        return through(flags)
+
+    start = through([F.lit(i == 0) for i in range(len(segments) + 1)])
+    return F.aggregate("members", start, step, lambda a: F.get(a, F.lit(len(segments))))
+
+
+def _segment_condition(s: Column, m: Segment, literal: bool = False, ignore_case: bool = False) -> Column:
+    if not literal and m.kind == "named" and m.name == "*" and m.params is None and m.arity is None:
         return s.isNotNull()
-    name = s["name"].rlike(globs.component(m.name)) if "*" in m.name else s["name"] == m.name
+    glob = "*" in m.name and not literal
+    name = s["name"].rlike(globs.component(m.name, ignore_case)) if glob else s["name"].rlike(rf"(?iu)\A{globs.quoted(m.name)}\z") if ignore_case else s["name"] == m.name
     cond = (s["kind"] == m.kind) & name
     if m.arity is not None:
         cond &= s["arity"] == m.arity
@@ -197,6 +221,26 @@ def _segment_condition(s: Column, m: Segment) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def members(text: str) -> tuple[Segment, ...]:
+    """The segments of a member path alone, as in a method condition."""
+    parts = split_top(text.strip(), ".")
+    if not all(p.strip() for p in parts):
+        raise SelectorError(f"not a member path: {text!r}")
+    return tuple(_segment(p.strip()) for p in parts)
+
+
+def hierarchy(text: str) -> list[tuple[str, int | None]]:
+    """Names and arities of a dotted type path, as in a type condition."""
+    return [_name(p.strip()) for p in split_top(text.strip(), ".")]
+
+
+def matching(symbols: DataFrame, selector: Selector, ignore_case: bool = False) -> DataFrame:
+    """The symbols that a selector matches. The leaf's name reaches the files; what is left is encoded, unless the columns are stored."""
+    rows = symbols.where(candidate_hints(selector)) if not ignore_case else symbols
+    rows = rows if "members" in rows.columns else encoded(rows)
+    return rows.where(compile(selector, ignore_case)).select(*symbols.columns)
+
+
 def encoded(symbols: DataFrame) -> DataFrame:
     """symbols with owner_ns, owner_type and members, from namespace_name, type_identity_path and executable_identity_path; done once, when facts are loaded."""
     schema = "owner_ns string, owner_type string, members array<struct<kind:string,name:string,arity:int,params:array<string>>>"

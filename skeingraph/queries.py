@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeingraph.adapters import Views, for_oracle
 from skeingraph.functions import text as T
-from skeingraph.operators import aggregates, graph, joins, ordering, scans
+from skeingraph.operators import aggregates, graph, joins, layouts, ordering, scans
 from skeingraph.operators.output import table_lines
 from skeingraph.plans import conditions as C
 from skeingraph.plans import selector
 from skeingraph.schema import AsyncStatus, CallerScope, DispatchSearch, GeneratedFilter
+from skeingraph.service import Request, Service
+from skeingraph.session import ranked
 from skeingraph.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,18 +392,21 @@ def inherited_min_depth_all(v):
     return graph.inherited_depths(v.symbols.where("kind = 1"), v.symbol_relations)
 
 
-def _involved(v: Views) -> DataFrame:
+def _call_edges(v: Views) -> DataFrame:
     s = v.symbols.select("id", "stable_key")
-    calls = v.calls.withColumn("reference_kind", F.lit(1)).join(s.select(F.col("id").alias("caller_symbol_id"), F.col("stable_key").alias("caller_key")), "caller_symbol_id")
-    edges = graph.call_edges(calls.withColumn("document_key", F.col("document_id").cast("string")))
-    origins = v.symbols.where("async_role = 5").select("id", F.col("stable_key").alias("key"))
-    return graph.propagate(origins, edges)
+    calls = v.calls.join(s.select(F.col("id").alias("caller_symbol_id"), F.col("stable_key").alias("caller_key")), "caller_symbol_id")
+    return graph.call_edges(calls.withColumn("document_key", F.col("document_id").cast("string")))
+
+
+def _involved(v: Views) -> DataFrame:
+    return graph.propagate(v.symbols.where("async_role = 5").select("id", F.col("stable_key").alias("key")), _call_edges(v))
 
 
-@query("""t(id, d) AS (SELECT id, 0 FROM {symbols} WHERE async_role = 5 UNION SELECT c.caller_symbol_id, d + 1 FROM t JOIN {calls} c ON c.callee_definition_id = t.id WHERE d < 40)
+@query("""t(id, d) AS (SELECT id, 0 FROM {symbols} WHERE async_role = 5 UNION SELECT c.caller_symbol_id, d + 1 FROM t JOIN {calls} c ON c.callee_definition_id = t.id AND c.reference_kind = 1 WHERE d < 40)
 MAIN SELECT id, CAST(min(d) AS INT) AS depth FROM t GROUP BY id""")
 def async_depth(v):
-    return _involved(v).select("id", "depth")
+    """Depths alone need no places in queues."""
+    return graph.depths(v.symbols.where("async_role = 5").select("id"), _call_edges(v))
 
 
 @query()
@@ -464,19 +469,188 @@ def symbol_canonical_order(v):
     return _ranks(v)
 
 
-@query(f"""r AS ({PLACED}) MAIN SELECT c.id, a.sym_rank AS caller_rank, b.sym_rank AS target_rank FROM {{calls}} c JOIN r a ON a.id = c.caller_symbol_id LEFT JOIN r b ON b.id = c.callee_definition_id JOIN {{files}} f ON f.id = c.document_id""")
+@query(f"""r AS ({PLACED}) MAIN SELECT c.id, CAST(row_number() OVER (ORDER BY a.sym_rank, b.sym_rank NULLS LAST, f.normalized_path, c.source_start, c.source_length, reference_kind, dispatch_kind, resolution_status, resolution_reason, async_usage_kind, c.id) AS BIGINT) AS place
+FROM {{calls}} c JOIN r a ON a.id = c.caller_symbol_id LEFT JOIN r b ON b.id = c.callee_definition_id JOIN {{files}} f ON f.id = c.document_id""")
 def call_canonical_order(v):
     f = v.files.select(F.col("id").alias("document_id"), "normalized_path")
     rows = v.calls.join(f, "document_id").withColumn("unresolved_name", F.lit(None).cast("string"))
-    return ordering.call_order(rows, _ranks(v)).select("id", "caller_rank", "target_rank")
+    return ordering.call_places(rows, _ranks(v)).select("id", "place")
+
+
+@query(f"""r AS ({PLACED}) MAIN SELECT source_symbol_id, target_symbol_id, relation_kind, CAST(row_number() OVER (ORDER BY a.sym_rank, b.sym_rank, relation_kind) AS BIGINT) AS place
+FROM (SELECT DISTINCT source_symbol_id, target_symbol_id, relation_kind FROM {{symbol_relations}}) JOIN r a ON a.id = source_symbol_id JOIN r b ON b.id = target_symbol_id""")
+def relation_canonical_order(v):
+    rows = v.symbol_relations.select("source_symbol_id", "target_symbol_id", "relation_kind").distinct()
+    return ordering.relation_places(rows, _ranks(v))
+
+
+@query("""SELECT id, CAST(row_number() OVER (ORDER BY namespace_name NULLS FIRST, type_identity_path NULLS FIRST, executable_identity_path NULLS FIRST, normalized_path NULLS FIRST, source_start NULLS FIRST, id) AS BIGINT) AS place
+FROM (SELECT s.id, namespace_name, type_identity_path, executable_identity_path, f.normalized_path, d.source_start FROM {symbols} s LEFT JOIN {declarations} d ON d.id = s.preferred_declaration_id LEFT JOIN {files} f ON f.id = d.document_id)""")
+def repository_order(v):
+    d = v.declarations.select(F.col("id").alias("preferred_declaration_id"), "document_id", "source_start")
+    rows = v.symbols.join(d, "preferred_declaration_id", "left").join(v.files.select(F.col("id").alias("document_id"), "normalized_path"), "document_id", "left")
+    return ranked(rows, ordering.repository_order(), "place").select("id", "place")
+
+
+# The query service ---------------------------------------------------------------------------------------------------
+
+#: Executables of one int, not generic, in three namespaces, whose own declaration is not generated.
+REQUEST = Request(conditions=(C.Condition("method", "*(int)"), C.Condition("namespace", "Ns[1-3]", "regex")), generated=GeneratedFilter.EXCLUDE)
+SELECTED = """roots AS (SELECT s.*, f.normalized_path, d.source_start FROM {code_symbols} s JOIN {code_declarations} d ON d.id = s.preferred_declaration_id JOIN {files} f ON f.id = d.document_id
+  WHERE s.kind IN (2, 3, 4, 5) AND s.id % 4 = 1 AND regexp_full_match(namespace_name, 'Ns[1-3]') AND NOT d.is_generated),
+ranks AS (SELECT s.id, row_number() OVER (ORDER BY namespace_name, type_identity_path, executable_identity_path, f.normalized_path NULLS LAST, d.source_start NULLS LAST, stable_key) AS sym_rank
+  FROM {code_symbols} s LEFT JOIN {code_declarations} d ON d.id = s.preferred_declaration_id LEFT JOIN {files} f ON f.id = d.document_id)"""
+CALL_PLACES = """SELECT c.id, CAST(row_number() OVER (ORDER BY a.sym_rank, b.sym_rank NULLS LAST, f.normalized_path, c.source_start, c.source_length, reference_kind, async_usage_kind, c.id) AS BIGINT) AS place
+FROM {code_calls} c JOIN ranks a ON a.id = c.caller_symbol_id LEFT JOIN ranks b ON b.id = c.callee_definition_id JOIN {files} f ON f.id = c.document_id WHERE """
+NAMED = "(callee_definition_id IN (SELECT id FROM roots) OR c.id IN (SELECT call_id FROM {code_candidates} WHERE candidate_symbol_id IN (SELECT id FROM roots)))"
+
+
+def _service(v: Views) -> Service:
+    tables = {"symbols": v.code_symbols, "symbol_declarations": v.code_declarations, "documents": v.files, "calls": v.code_calls, "call_candidates": v.code_candidates}
+    return Service(tables | {n: getattr(v, n) for n in ("symbol_relations", "interface_method_bindings", "conditional_symbols_used")}, 1)
+
+
+@query(SELECTED + " MAIN SELECT r.id, CAST(row_number() OVER (ORDER BY sym_rank) AS BIGINT) AS place FROM roots r JOIN ranks USING (id)")
+def service_symbol_list(v):
+    return _service(v).symbol_list(REQUEST).select("id", "place")
+
+
+@query(r"""SELECT s.id FROM {code_symbols} s JOIN {code_declarations} d ON d.id = s.preferred_declaration_id WHERE kind IN (2, 3, 4, 5) AND (regexp_full_match(type_identity_path, 'Brand1[0-9]*') OR regexp_full_match(type_identity_path, 'Brand2[0-9]*<T>')
+OR regexp_full_match(type_identity_path, '[^.]*\.Inner<A,B>')) AND regexp_matches(executable_identity_path, '^small_ring[<(]')""")
+def service_type_and_method_conditions(v):
+    """Globs over generic types, an arity that is given and one that any has by its star, and a literal method, which is any overload."""
+    cs = (C.Condition("type", "Brand1[0-9]*", "regex"), C.Condition("type", "Brand2*<X>"), C.Condition("type", "*.Inner<X,Y>"), C.Condition("method", "small_ring", "literal"))
+    return _service(v).symbol_find(Request(conditions=cs, kind=None)).join(v.code_declarations.select(F.col("id").alias("preferred_declaration_id")), "preferred_declaration_id", "left_semi").select("id")
+
+
+@query("SELECT id FROM {code_symbols} WHERE kind IN (2, 3, 4, 5) AND name = 'red_widget' AND id % 4 = 3 AND NOT regexp_matches(type_identity_path, '<')")
+def service_symbol_find(v):
+    """A selector with aliases, whose leaf name reaches the files."""
+    return _service(v).symbol_find(Request("*::red_widget(string, int)")).where(~F.col("type_identity_path").contains("<")).select("id")
+
+
+@query(SELECTED + " MAIN " + CALL_PLACES + NAMED)
+def service_references(v):
+    return _service(v).references(REQUEST).select("id", "place")
+
+
+@query(SELECTED + " MAIN " + CALL_PLACES + NAMED + " AND reference_kind IN (1, 2) AND NOT f.is_generated")
+def service_callers(v):
+    return _service(v).callers(REQUEST, generated=GeneratedFilter.EXCLUDE)[0].select("id", "place")
+
+
+@query(SELECTED + """, c AS (SELECT c.caller_symbol_id FROM {code_calls} c JOIN {files} f ON f.id = c.document_id WHERE """ + NAMED + """ AND reference_kind IN (1, 2)),
+x AS (SELECT caller_symbol_id AS id FROM c UNION SELECT coalesce(s.containing_symbol_id, s.id) FROM c JOIN {code_symbols} s ON s.id = c.caller_symbol_id)
+MAIN SELECT id, CAST(row_number() OVER (ORDER BY sym_rank) AS BIGINT) AS place FROM x JOIN ranks USING (id)""")
+def service_effective_callers(v):
+    return _service(v).callers(REQUEST, scope=CallerScope.BOTH)[1].select("id", "place")
+
+
+@query(SELECTED + """ MAIN SELECT source_symbol_id, target_symbol_id, relation_kind, CAST(row_number() OVER (ORDER BY a.sym_rank, b.sym_rank, relation_kind) AS BIGINT) AS place
+FROM {symbol_relations} JOIN ranks a ON a.id = source_symbol_id JOIN ranks b ON b.id = target_symbol_id WHERE relation_kind IN (3, 4, 5) AND target_symbol_id IN (SELECT id FROM roots)""")
+def service_runtime_targets(v):
+    return _service(v).callers(REQUEST, dispatch=DispatchSearch.ALL)[2].select("source_symbol_id", "target_symbol_id", "relation_kind", "place")
+
+
+@query(SELECTED + """, t(node) AS (SELECT id FROM roots UNION SELECT s.id FROM t JOIN {code_symbols} s ON s.containing_symbol_id = t.node)
+MAIN """ + CALL_PLACES + "reference_kind IN (1, 2) AND (c.caller_symbol_id IN (SELECT id FROM roots) OR c.caller_symbol_id IN (SELECT node FROM t JOIN {code_symbols} s ON s.id = t.node WHERE s.kind = 3))")
+def service_callees(v):
+    return _service(v).callees(REQUEST).select("id", "place")
+
+
+@query(SELECTED + """ MAIN SELECT source_symbol_id, target_symbol_id, CAST(row_number() OVER (ORDER BY a.sym_rank, b.sym_rank) AS BIGINT) AS place
+FROM {symbol_relations} JOIN ranks a ON a.id = source_symbol_id JOIN ranks b ON b.id = target_symbol_id WHERE relation_kind = 3 AND target_symbol_id IN (SELECT id FROM roots WHERE kind = 2)""")
+def service_overrides(v):
+    return _service(v).overrides(REQUEST).select("source_symbol_id", "target_symbol_id", "place")
+
+
+@query(SELECTED + """ MAIN SELECT d.id AS declaration_id, CAST(row_number() OVER (ORDER BY sym_rank, CASE declaration_role WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END) AS BIGINT) AS place
+FROM roots JOIN ranks USING (id) JOIN {code_declarations} d ON d.symbol_id = roots.id""")
+def service_definition(v):
+    rows = _service(v).definition(REQUEST)
+    return ranked(rows, [F.asc("root_order"), F.asc("declaration_place")], "place").select(F.col("id").alias("declaration_id"), "place")
+
+
+@query(SELECTED + """ MAIN SELECT d.id AS declaration_id, CAST(row_number() OVER (ORDER BY sym_rank, f.normalized_path, d.source_start, d.id) AS BIGINT) AS place
+FROM roots r JOIN ranks USING (id) JOIN {code_declarations} d ON d.symbol_id = r.id JOIN {files} f ON f.id = d.document_id WHERE contains(f.source_text, 'the') AND NOT contains(f.source_text, 'License')""")
+def service_source_search(v):
+    more = (C.Condition("include", "the", "literal"), C.Condition("exclude", "License", "literal"))
+    return _service(v).source_search(Request(conditions=REQUEST.conditions + more, generated=REQUEST.generated)).select(F.col("id").alias("declaration_id"), "place")
+
+
+@query(r"""p AS (SELECT id AS document_id, normalized_path || ':1:6' AS "at" FROM {files} WHERE id < 100 AND regexp_matches(source_text, '^[ -~][ -~][ -~][ -~][ -~][ -~]')),
+c AS (SELECT p."at", callee_definition_id AS called, row_number() OVER (PARTITION BY p."at" ORDER BY source_length, c.id) AS r FROM p JOIN {code_calls} c ON c.document_id = p.document_id AND source_start <= 5 AND source_start + source_length >= 5),
+d AS (SELECT p."at", symbol_id, row_number() OVER (PARTITION BY p."at" ORDER BY source_length, d.id) AS r FROM p JOIN {code_declarations} d ON d.document_id = p.document_id AND source_start <= 5 AND source_start + source_length >= 5),
+s AS (SELECT p."at", coalesce(called, d.symbol_id) AS symbol_id FROM p LEFT JOIN c ON c."at" = p."at" AND c.r = 1 LEFT JOIN d ON d."at" = p."at" AND d.r = 1)
+MAIN SELECT s."at", s.symbol_id, x.id AS declaration_id FROM s JOIN {code_declarations} x ON x.symbol_id = s.symbol_id""")
+def service_definition_at(v):
+    at = v.files.where((F.col("id") < 100) & F.col("source_text").rlike("^[ -~][ -~][ -~][ -~][ -~][ -~]")).select(F.concat("normalized_path", F.lit(":1:6")).alias("at"))
+    return _service(v).definition_at(at)
+
+
+GRAPH = """ok AS (SELECT s.id FROM {code_symbols} s JOIN {code_declarations} d ON d.id = s.preferred_declaration_id AND d.symbol_id = s.id WHERE s.kind IN (2, 3, 4, 5))"""
+
+
+@query(GRAPH + """, e AS (SELECT DISTINCT caller_symbol_id AS a, callee_definition_id AS b FROM {code_calls} c JOIN {files} f ON f.id = c.document_id WHERE reference_kind = 1 AND caller_symbol_id IN (SELECT id FROM ok) AND callee_definition_id IN (SELECT id FROM ok)),
+t(id, d) AS (SELECT id, 0 FROM {code_symbols} WHERE async_role <> 0 AND id IN (SELECT id FROM ok) UNION SELECT e.a, d + 1 FROM t JOIN e ON e.b = t.id WHERE d < 30)
+MAIN SELECT id, CAST(min(d) AS INT) AS depth FROM t GROUP BY id""")
+def service_async_involvement(v):
+    return _service(v).involved().select("id", "depth")
+
+
+EDGES = """, ok AS (SELECT s.id FROM {code_symbols} s JOIN {code_declarations} d ON d.id = s.preferred_declaration_id JOIN {files} f ON f.id = d.document_id WHERE s.kind IN (2, 3, 4, 5) AND s.namespace_name <> 'System' AND NOT starts_with(s.namespace_name, 'System.')),
+h AS (SELECT caller_symbol_id AS a, callee_definition_id AS b FROM {code_calls} WHERE reference_kind IN (1, 2) UNION SELECT caller_symbol_id, candidate_symbol_id FROM {code_calls} c JOIN {code_candidates} ON call_id = c.id WHERE reference_kind IN (1, 2)),
+e AS (SELECT a, b FROM h WHERE a IN (SELECT id FROM ok)),
+t(id, d) AS (SELECT min(callee_definition_id), 0 FROM {code_calls} UNION SELECT e.a, d + 1 FROM t JOIN e ON e.b = t.id WHERE d < 2), n AS (SELECT id, min(d) AS depth FROM t GROUP BY id)"""
+
+
+@query(SELECTED + EDGES + " MAIN SELECT id, CAST(depth AS INT) AS depth, CAST(row_number() OVER (ORDER BY depth, sym_rank) AS BIGINT) AS place FROM n JOIN ranks USING (id)")
+def service_tree_nodes(v):
+    root = v.code_calls.agg(F.min("callee_definition_id")).first()[0]
+    return _service(v).tree_of(root, 2, 10_000).nodes.select("id", "depth", "place")
+
+
+@query(SELECTED + EDGES + """ MAIN SELECT a AS caller, b AS callee, y.depth = x.depth - 1 AND q.sym_rank = min(q.sym_rank) FILTER (WHERE y.depth = x.depth - 1) OVER (PARTITION BY a) AS spanning,
+CAST(row_number() OVER (ORDER BY y.depth, q.sym_rank, x.depth, p.sym_rank) AS BIGINT) AS place
+FROM e JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN ranks p ON p.id = a JOIN ranks q ON q.id = b""")
+def service_tree_edges(v):
+    root = v.code_calls.agg(F.min("callee_definition_id")).first()[0]
+    return _service(v).tree_of(root, 2, 10_000).edges.select("caller", "callee", "spanning", "place")
+
+
+@query(SELECTED + EDGES + """, i AS (SELECT a, b, row_number() OVER (ORDER BY y.depth, q.sym_rank, x.depth, p.sym_rank) AS edge_index FROM e JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN ranks p ON p.id = a JOIN ranks q ON q.id = b),
+s AS (SELECT DISTINCT c.id AS call_id, caller_symbol_id AS a, k AS b, document_id, source_start, source_length FROM (SELECT *, callee_definition_id AS k FROM {code_calls} UNION ALL SELECT c.*, candidate_symbol_id FROM {code_calls} c JOIN {code_candidates} ON call_id = c.id) c WHERE reference_kind IN (1, 2))
+MAIN SELECT call_id, CAST(edge_index AS BIGINT) AS edge_index, CAST(row_number() OVER (ORDER BY edge_index, f.normalized_path, source_start, source_length, call_id) AS BIGINT) AS place FROM s JOIN i USING (a, b) JOIN {files} f ON f.id = s.document_id""")
+def service_call_sites(v):
+    service = _service(v)
+    tree = service.tree_of(v.code_calls.agg(F.min("callee_definition_id")).first()[0], 2, 10_000)
+    return service.call_sites(tree).select("call_id", "edge_index", "place")
+
+
+@query("""roots AS (SELECT s.id AS root, s.containing_symbol_id AS receiver, t.type_kind = 7 AS i FROM {code_symbols} s JOIN {code_symbols} t ON t.id = s.containing_symbol_id WHERE s.id % 4 = 1),
+b(receiver, node) AS (SELECT DISTINCT receiver, receiver FROM roots WHERE NOT coalesce(i, false) UNION SELECT b.receiver, r.source_symbol_id FROM b JOIN {symbol_relations} r ON r.target_symbol_id = b.node AND r.relation_kind = 1),
+o(root, node) AS (SELECT DISTINCT root, root FROM roots WHERE NOT coalesce(i, false) UNION SELECT o.root, r.source_symbol_id FROM o JOIN {symbol_relations} r ON r.target_symbol_id = o.node AND r.relation_kind = 3),
+l(receiver, node) AS (SELECT DISTINCT receiver, receiver FROM roots WHERE i UNION SELECT l.receiver, r.source_symbol_id FROM l JOIN {symbol_relations} r ON r.target_symbol_id = l.node AND r.relation_kind IN (1, 2))
+MAIN SELECT root, s.id AS method FROM roots JOIN o USING (root) JOIN {code_symbols} s ON s.id = o.node JOIN b ON b.receiver = roots.receiver AND b.node = s.containing_symbol_id WHERE NOT coalesce(i, false)
+UNION SELECT root, implementation_method_id FROM roots JOIN l ON l.receiver = roots.receiver JOIN {interface_method_bindings} ON implementing_type_id = node AND interface_method_id = root WHERE i
+UNION SELECT s.id, s.id FROM {code_symbols} s WHERE s.id % 4 = 1""")
+def root_dispatcher(v):
+    return graph.expand_roots(v.code_symbols.where("id % 4 = 1").select("id"), v.code_symbols, v.symbol_relations, v.interface_method_bindings)
+
+
+@query("SELECT symbol_name, count(DISTINCT document_id) AS documents, CAST(sum(occurrence_count) AS BIGINT) AS occurrences, symbol_name IN ('click', 'view') AS is_defined FROM {conditional_symbols_used} GROUP BY symbol_name")
+def service_conditions(v):
+    return _service(v).conditions(["click", "view"])
 
 
 # Sets and stores -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS documents FROM {documents} GROUP BY text")
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id FROM {documents} GROUP BY text")
 def normalized_dedup(v):
-    return v.documents.groupBy(F.lower(F.hex(T.text_hash(F.col("text")))).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("documents"))
+    """Texts once each, the first by id."""
+    rows = v.documents.select(F.lower(F.hex(T.text_hash(F.col("text")))).alias("hash"), F.col("doc_id").alias("first_id"))
+    return ordering.first_by(rows, ["hash"], [F.asc("first_id")])
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS value FROM {customer}""")
@@ -527,11 +701,48 @@ def table_output(v):
     return table_lines(v.documents, ["doc_id", "lang", "text"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM {events}) WHERE r <= 3")
+@query(TREE.replace("d < 3", "d < 1") + " MAIN SELECT id, depth FROM n WHERE depth = 0 OR id IN (SELECT id FROM n WHERE depth = 1 ORDER BY id LIMIT 2)")
 def node_cap(v):
-    """The first k of each group in canonical order."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return v.events.withColumn("r", place).where("r <= 3").select("user_id", "event_id")
+    """The root and the first two callers in canonical order."""
+    root = v.calls.agg(F.min("callee_definition_id")).first()[0]
+    symbols = v.symbols.select("id", F.col("id").alias("sym_rank"), (F.col("id") % 10 > 0).alias("eligible"))
+    return graph.caller_tree(v.calls, symbols, root, max_depth=1, max_nodes=3).nodes
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST((CASE WHEN a THEN 1 ELSE 0 END) | (CASE WHEN a AND v THEN 32 ELSE 0 END) | (CASE WHEN a AND i THEN 8 ELSE 0 END) | (CASE WHEN k = 0 THEN 2 ELSE 0 END) | (CASE WHEN k = 1 THEN 16 ELSE 0 END) AS INT) AS role
+FROM (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS a, l_linestatus = 'O' AS v, l_tax > 0.04 AS i, l_partkey % 3 AS k FROM {lineitem})""")
+def async_roles(v):
+    k = F.col("l_partkey") % 3
+    kind = F.when(k == 0, "System.Threading.Tasks.Task`1").when(k == 1, "System.Collections.Generic.IAsyncEnumerable`1").otherwise("System.Void")
+    role = T.async_role(F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_tax") > 0.04, kind)
+    return v.lineitem.select("l_orderkey", "l_linenumber", role.alias("role"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 3 WHEN p_size % 4 = 1 OR p_partkey % 2 = 0 THEN 2 ELSE 1 END AS kind FROM {part}")
+def dispatch_kinds(v):
+    kind = T.dispatch_kind(F.when(F.col("p_size") % 4 == 0, 7).otherwise(2), F.col("p_size") % 4 == 1, F.col("p_partkey") % 2 == 0, F.lit(None).cast("boolean"))
+    return v.part.select("p_partkey", kind.alias("kind"))
+
+
+@query("""SELECT id, 'profile:p|assembly:' || coalesce(nullif(source, 'src0'), 'source') || '|tfm:unknown|M:' || id AS stable, 'k' || id || '|declaration:' || source || ':' || source_start || ':10:' || declaration_role AS declared
+FROM (SELECT d.*, document_key AS source FROM {declarations} d)""")
+def stable_keys(v):
+    i = F.col("id").cast("string")
+    stable = T.stable_key(F.lit("p"), F.nullif(F.col("document_key"), F.lit("src0")), F.lit(None).cast("string"), F.concat(F.lit("M:"), i))
+    return v.declarations.select("id", stable.alias("stable"), T.declaration_key(F.concat(F.lit("k"), i), F.col("document_key"), F.col("source_start"), F.col("source_length"), F.col("declaration_role")).alias("declared"))
+
+
+@query(SELECTED + """ MAIN SELECT '  ' || f.normalized_path || ':1:' || (1 + c.source_start) || '  ' || a.namespace_name || '.' || a.type_display_path || '::' || a.executable_display_path || ' -> ' || b.namespace_name || '.' || b.type_display_path || '::' || b.executable_display_path
+|| CASE reference_kind WHEN 1 THEN ' [Invocation' ELSE ' [MethodGroup' END || ', Resolved] [' || CASE async_usage_kind WHEN 0 THEN 'None' WHEN 1 THEN 'Awaited' WHEN 2 THEN 'Forwarded' WHEN 3 THEN 'Stored' WHEN 4 THEN 'Passed' WHEN 5 THEN 'Discarded' ELSE 'Unobserved' END || ']' AS line
+FROM {code_calls} c JOIN {code_symbols} a ON a.id = c.caller_symbol_id JOIN {code_symbols} b ON b.id = c.callee_definition_id JOIN {files} f ON f.id = c.document_id
+WHERE """ + NAMED + """ AND regexp_matches(f.source_text, '^[ -~][ -~][ -~][ -~][ -~][ -~][ -~][ -~]')""")
+def service_call_lines(v):
+    """References as table lines, where the first line of the source is long enough for the place to be in it."""
+    service = _service(v)
+    calls = service.references(REQUEST).drop("place")
+    plain = v.files.where(F.col("source_text").rlike("^[ -~][ -~][ -~][ -~][ -~][ -~][ -~][ -~]")).select(F.col("id").alias("document_id"))
+    named = layouts.with_names(layouts.located(calls.join(plain, "document_id", "left_semi"), v.files), v.code_symbols, {"caller_symbol_id": "caller_name", "callee_definition_id": "target_name"})
+    return layouts.call_lines(named)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

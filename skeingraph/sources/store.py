@@ -17,6 +17,14 @@ class StoreError(ValueError):
     """No index, or one of another version."""
 
 
+#: Rows that are their key alone: repeated ones are one.
+UNIQUE = {
+    "call_candidates": ["call_id", "candidate_symbol_id"],
+    "symbol_relations": ["analysis_profile_id", "source_symbol_id", "target_symbol_id", "relation_kind"],
+    "interface_method_bindings": ["analysis_profile_id", "implementing_type_id", "interface_method_id", "implementation_method_id"],
+}
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -33,6 +41,8 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def save(spark: SparkSession, root: str, profile: str, tables: dict[str, DataFrame]) -> str:
     """Checks and writes a profile's tables, then moves its pointer to them; texts that no document uses are dropped. Returns the run's folder."""
     full = {n: conform(tables[n], n) if n in tables else spark.createDataFrame([], s) for n, s in SCHEMAS.items() if n != "schema_info"}
+    for name, columns in UNIQUE.items():
+        full[name] = full[name].dropDuplicates(columns)
     check(full)
     used = full["documents"].select(F.col("normalized_source_id").alias("id"))
     full["normalized_sources"] = full["normalized_sources"].dropDuplicates(["normalized_source_hash"]).join(used, "id", "left_semi").select(*SCHEMAS["normalized_sources"].names)
@@ -74,5 +84,11 @@ def is_current(runs: DataFrame, input_root: str, fingerprint: bytes, request: by
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old with new's rows in place of those of the same key."""
-    return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    """old with new's rows in place of those of the same key; null keys are equal. Of new's rows of one key the first by its other columns stays."""
+    rest = [c for c in old.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in rest]) if rest else new.select(*key).distinct()
+    named = new.select(*[F.col(c).alias(f"_new_{c}") for c in key]).distinct()
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_new_{c}"))
+    return old.join(named, same, "left_anti").unionByName(first.select(*old.columns))

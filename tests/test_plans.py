@@ -79,3 +79,63 @@ def test_conditions_meet_on_one_declaration(spark):
     for bad in (C.Condition("include", "(", "regex"), C.Condition("nothing", "x"), C.Condition("file", "")):
         with pytest.raises(C.ConditionError):
             C.compile(spark, [bad])
+
+
+@pytest.mark.parametrize(("text", "path", "want"), [
+    ("T::**.L.**", "M.L()", True), ("T::**.L.**", "A.B.L().<lambda#2>", True), ("T::**.L.**.X", "A.L.X.Y", False), ("T::A.**.L.**.X", "A.L.B.X", True), ("T::**.**", "M", True), ("T::*.**.*", "M", False), ("T::*.**.*", "M.<lambda#1>", True),
+    ("T::<lambda#*>", "<lambda#7>", True), ("T::M((int a, string))", "M(System.ValueTuple<System.Int32,System.String>)", True), ("T::M((int, string)[])", "M(System.ValueTuple<System.Int32,System.String>[])", True), ("T::M((int, int))", "M(System.ValueTuple<System.Int32,System.String>)", False),
+    ("T::[conversion:implicit:int](string)", "[conversion:implicit:System.Int32](System.String)", True), ("T::[conversion:implicit:long]", "[conversion:implicit:System.Int32](System.String)", False), ("T::[checked-conversion:explicit:int]", "[checked-conversion:explicit:System.Int32]()", True),
+    ("T::[explicit:I.M]", "[explicit:I.M]()", True), ("T::[explicit:*.M]", "[explicit:A.I.M]()", True), ("T::[operator:+](int,int)", "[operator:+](System.Int32,System.Int32)", True), ("T::[destructor]", "[destructor]()", True), ("T::<initializer:*>", "<initializer:Field>", True),
+    ("T::[static-constructor]", "[constructor]()", False), ("T::<top-level-statements>", "<top-level-statements>", True), ("T::[add:E]", "[add:E](System.Object)", True), ("T::M<A>()", "M<T>()", True), ("T::M()", "M<T>()", False), ("T::M<A,B>", "M<T>()", False),
+])
+def test_members(spark, text, path, want):
+    assert matches(spark, text, "N", "T", path) == want
+
+
+def chosen(spark, condition, type_path="Host", executable="Run()", namespace="Game"):
+    rows = spark.createDataFrame([(1, namespace, type_path, type_path, executable, executable)], "id long, namespace_name string, type_identity_path string, type_display_path string, executable_identity_path string, executable_display_path string")
+    none = spark.createDataFrame([], "symbol_id long, normalized_path string, source_text string")
+    return C.select(rows, none, C.compile(spark, [condition]))[0].count() == 1
+
+
+@pytest.mark.parametrize(("pattern", "path", "want"), [
+    ("Run", "Run<T>(System.Int32)", True), ("Run<T>", "Run<T>(System.Int32)", True), ("Run()", "Run()", True), ("Run<T>()", "Run<T>()", True), ("Run(int)", "Run(System.Int32)", True),
+    ("Run()", "Run(System.String)", False), ("Run()", "Run<T>()", False), ("Run(int)", "Run<T>(System.Int32)", False), ("Run", "Run.Local()", False), ("R*", "Run()", False), ("R", "Run()", False),
+])
+def test_method_literals(spark, pattern, path, want):
+    assert chosen(spark, C.Condition("method", pattern, "literal"), executable=path) == want
+
+
+@pytest.mark.parametrize(("pattern", "path", "want"), [
+    ("M*", "M.L()", False), ("*", "M.L()", False), ("*.L", "M.L()", True), ("**", "M.L()", True), ("M(int)", "M(System.Int32)", True), ("r*", "Run()", False), ("*n(string, int)", "Run(System.String,System.Int32)", True),
+])
+def test_method_globs(spark, pattern, path, want):
+    assert chosen(spark, C.Condition("method", pattern), executable=path) == want
+    assert chosen(spark, C.Condition("method", pattern.upper() if "(" not in pattern else pattern, ignore_case=True), executable=path) >= want
+
+
+@pytest.mark.parametrize(("pattern", "syntax", "path", "want"), [
+    ("Repository", "literal", "Repository", True), ("Repository", "literal", "Repository<T>", False), ("Repository", "glob", "Repository<T>", False), ("Repository<T>", "literal", "Repository<X>", True),
+    ("Repository<T>", "literal", "Repository<T,U>", False), ("Repository<T>", "glob", "Repository<X>", True), ("Repository*", "glob", "Repository", True), ("Repository*", "glob", "Repository<T>", True),
+    ("List<*>", "glob", "List<System.String>", True), ("*", "glob", "List<System.String>", True), ("*", "glob", "A.B", False), ("**", "glob", "A.B<System.Int32>", True), ("Rep*", "literal", "Repository", False), ("a.b", "glob", "A.B", False),
+])
+def test_type_conditions(spark, pattern, syntax, path, want):
+    assert chosen(spark, C.Condition("type", pattern, syntax), type_path=path) == want
+
+
+def test_a_selector_reaches_the_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "M", "N", "T", "M()"), (2, "K", "N", "T", "K()")], "id long, name string, namespace_name string, type_identity_path string, executable_identity_path string")
+    rows.write.parquet(f"{tmp_path}/s")
+    found = selector.matching(spark.read.parquet(f"{tmp_path}/s"), selector.parse("T::M"))
+    assert [r["id"] for r in found.collect()] == [1] and "EqualTo(name,M)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_that_say_too_little(spark):
+    from skeingraph.schema import SymbolKind
+    from skeingraph.service import Request, UsageError
+
+    Request(kind=SymbolKind.METHOD).check("x")
+    Request("T::M", include_overrides=True).check("x")
+    for bad in (Request(), Request("T::*", include_overrides=True), Request(kind=SymbolKind.METHOD, include_overrides=True), Request("T::M", kind=SymbolKind.LAMBDA, include_overrides=True)):
+        with pytest.raises(UsageError):
+            bad.check("x")

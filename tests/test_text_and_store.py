@@ -1,10 +1,11 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from skeingraph.functions import text as T
-from skeingraph.operators import aggregates, output
+from skeingraph.operators import aggregates, layouts, output
 from skeingraph.operators.integrity import IntegrityError, resolved_names
 from skeingraph.operators.joins import innermost
 from skeingraph.schema import SCHEMAS
@@ -105,10 +106,74 @@ def test_output(spark, tmp_path):
     assert '"symbolId" : 1' in output.json_rows(df).head()["json"]
     edges = [(1, 0, True), (2, 1, True), (3, 0, True), (3, 1, False)]
     names = {i: f"n{i}" for i in range(4)}
-    assert output.tree_text(names, 0, edges) == "n0\n  n1\n    n2\n  n3\nAdditional edges:\n  n3 -> n1"
-    assert output.mermaid({0: 'a"<'}, []) == 'flowchart TD\n  n0["a&quot;&lt;"]'
+    assert output.tree_text(names, 0, edges) == "n0\n└─ n1\n   └─ n2\n└─ n3\nAdditional edges:\n  n3 -> n1"
+    sites = {(2, 1): ["a.cs:1:2\nx()"], (3, 1): ["b|c"]}
+    assert output.tree_text(names, 0, edges, True, sites) == "n0\n└─ n1\n   └─ n2\n      a.cs:1:2 x()\n└─ n3\n└─ <truncated>\nAdditional edges:\n  n3 -> n1\n    b|c"
+    assert output.mermaid({0: 'a"<[constructor]\r\nint[]&'}, []) == 'flowchart TD\n    n0["a&quot;&lt;&#91;constructor&#93;<br/>int&#91;&#93;&amp;"]'
+    assert output.mermaid({0: "a", 3: "b"}, [(3, 0, True)], True, {(3, 0): ["x|y", "[z]"]}).splitlines()[3:] == ['    n3 -->|"x&#124;y<br/>&#91;z&#93;"| n0', "    %% truncated"]
+    assert output.path_tree(["a", "b"], True) == "a\n└─ b\n   └─ <truncated>" and output.path_line(["a", "b"], True) == "a -> b -> <truncated>"
+    tree = json.loads(output.tree_json("p", {0: {"id": 0}, 1: {"id": 1}}, {0: 0, 1: 1}, 0, [(1, 0, True)], False, {(1, 0): [{"line": 3}]}))
+    assert tree["edges"] == [{"caller": 1, "callee": 0, "callSites": [{"line": 3}]}] and tree["nodes"][1] == {"symbol": {"id": 1}, "depth": 1}
+    assert json.loads(output.path_json("p", {"id": 0}, None)) == {"profile": "p", "found": False, "truncated": False, "root": {"id": 0}, "nodes": []}
     output.write_atomically(str(tmp_path / "o"), "x")
     assert (tmp_path / "o").read_text() == "x" and len(list(tmp_path.iterdir())) == 1
     with pytest.raises(output.RequireSingle):
         output.single(df.limit(0))
     assert output.exit_code(output.RequireSingle()) == 5
+
+
+def test_exclude_patterns_trim_leading_slashes(spark):
+    rows = spark.createDataFrame([("obj2/a.cs",), ("/obj2/b.cs",), ("x/obj2/c.cs",)], "path string")
+    assert [r["path"] for r in rows.where(files.included(F.col("path"), ["/obj2/**"])).collect()] == ["x/obj2/c.cs"]
+
+
+def test_generated_headers_need_the_whole_tag(spark):
+    texts = ["// <auto-generated/>", "// <Auto-Generated>", "// <autogenerated>", "// auto-generated", "x" * 2048 + "<auto-generated>"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.generation_kind(F.lit("a.cs"), F.col("t")).alias("k")).orderBy("i")
+    assert [r["k"] for r in rows.collect()] == [0, 2, 2, 0, 0]
+
+
+def test_upsert_keeps_one_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, v string")
+    new = spark.createDataFrame([(2, "y"), (2, "x"), (None, "z"), (3, "n")], "id long, v string")
+    assert {(r["id"], r["v"]) for r in store.upsert(old, new, ["id"]).collect()} == {(1, "a"), (2, "x"), (None, "z"), (3, "n")}
+
+
+def test_layouts(spark):
+    s = spark.createDataFrame([(7, "k7", 2, "N", "T", "M(int)", 6, True, 5, 3, "Task", 9, "a.cs", 4, 1)], "id long, stable_key string, kind int, namespace_name string, type_display_path string, executable_display_path string, accessibility int, is_static boolean, async_role int, async_involvement_depth int, return_type_display string, preferred_declaration_id long, normalized_path string, source_start int, place long")
+    docs = spark.createDataFrame([("a.cs", "ab\ncd")], "normalized_path string, source_text string")
+    rows = layouts.located(s, docs)
+    assert layouts.symbol_lines(rows).head()["line"] == "public static async Task N.T::M(int) [async: DeclaredAsync, ContainsAwait; depth: 3]\ta.cs:2:2"
+    assert layouts.symbol_lines(rows.withColumn("async_involvement_depth", F.lit(None).cast("int")).withColumn("async_role", F.lit(0)), list_only=True).head()["line"] == "public static Task N.T::M(int)"
+    got = json.loads(layouts.json_lines(rows, layouts.symbol_object(rows)).head()["json"])
+    assert (got["kind"], got["fullyQualifiedName"], got["location"], got["accessibility"], got["assemblyName"]) == ("method", "N::T::M(int)", {"path": "a.cs", "line": 2, "column": 2, "offset": 4}, "public", None)
+    defined = rows.withColumn("declaration_role", F.lit(3))
+    assert layouts.definition_lines(defined).head()["line"] == "  public static async Task N.T::M(int)\timplementation\ta.cs:2:2"
+    assert layouts.source_match_lines(defined.withColumn("source", F.lit("x\ty"))).head()["line"].endswith("\timplementation\ta.cs:2:2\tx y")
+    calls = spark.createDataFrame([(1, 7, 7, 7, 1, 2, 1, 0, 1, "a.cs", 0, None), (2, 7, None, None, 3, 1, 3, 2, 0, "a.cs", 3, "Gone")], "id long, caller_symbol_id long, callee_symbol_id long, callee_definition_id long, reference_kind int, dispatch_kind int, resolution_status int, resolution_reason int, async_usage_kind int, normalized_path string, source_start int, unresolved_name string")
+    named = layouts.with_names(layouts.located(calls, docs), s, {"caller_symbol_id": "caller_name", "callee_definition_id": "target_name"})
+    lines = sorted(r["line"] for r in layouts.call_lines(named).collect())
+    assert lines == ["  a.cs:1:1  N.T::M(int) -> N.T::M(int) [Invocation, Resolved] [Awaited]", "  a.cs:2:1  N.T::M(int) -> Gone [MethodGroup, Unresolved] [None]"]
+    objects = {r["id"]: r for r in (json.loads(x["json"]) for x in layouts.json_lines(named, layouts.call_object(named)).collect())}
+    assert objects[2]["unresolvedName"] == "Gone" and objects[1]["unresolvedName"] is None and objects[1]["dispatchKind"] == "Virtual"
+    relations = layouts.with_names(spark.createDataFrame([(7, 7, 3)], "source_symbol_id long, target_symbol_id long, relation_kind int"), s, {"source_symbol_id": "source_name", "target_symbol_id": "target_name"})
+    assert layouts.relation_lines(relations).head()["line"] == "  N.T::M(int) -> N.T::M(int)"
+    assert json.loads(layouts.json_lines(relations, layouts.relation_object(relations)).head()["json"])["kind"] == "Overrides"
+    used = spark.createDataFrame([("DEBUG", 2, 5, True)], "symbol_name string, documents long, occurrences long, is_defined boolean")
+    assert layouts.condition_lines(used).head()["line"] == "  DEBUG                               2 file(s)  defined"
+    assert json.loads(layouts.json_lines(used, layouts.condition_object()).head()["json"]) == {"symbolName": "DEBUG", "fileCount": 2, "occurrenceCount": 5, "isDefined": True}
+
+
+def test_project_fingerprint(spark):
+    docs = spark.createDataFrame([("b.cs", "x"), ("A.cs", "y")], "path string, text string")
+    first = T.project_fingerprint(["p", "net8.0"], b"<Project/>", [("q", ["z", "a"], False), ("b", [], True)], docs)
+    assert first == T.project_fingerprint(["p", "net8.0"], b"<Project/>", [("b", [], True), ("q", ["a", "z"], False)], docs.orderBy("path"))
+    assert first != T.project_fingerprint(["p", "net8.0"], b"<Project/>", [("b", [], True), ("q", ["a", "z"], False)], docs.replace("x", "X", "text"))
+    assert first != T.project_fingerprint(["p", "net8.0"], None, [("q", ["z", "a"], False), ("b", [], True)], docs) and len(first) == 32
+
+
+def test_keys_of_what_has_no_name(spark):
+    assert one(spark, T.synthetic_key(F.col("o"), F.lit("a.cs"), F.lit("Lambda"), F.lit(3), F.lit(4), F.unhex(F.lit("0AFF"))), o="k") == "k|document:a.cs|kind:Lambda|span:3:4|version:0AFF"
+    assert one(spark, T.local_function_key(F.col("o"), F.lit("F()"), F.lit("a.cs"), F.lit(3), F.lit(4)), o="k") == "k|local:F()|document:a.cs|span:3:4"
+    with pytest.raises(Exception, match="local function"):
+        one(spark, T.local_function_key(F.col("o"), F.lit("F()"), F.lit("a.cs"), F.lit(-3), F.lit(4)), o="k")
