@@ -9,7 +9,7 @@ the smallest. Texts take part in none of these joins; they are joined at the end
 Defined results: a null conversation or node id takes no part; null role, text and
 score count as '', '' and 0; a parent that does not exist makes its child a root;
 nodes on or below a cycle have no root and are left out; a repeated (conversation,
-node) keeps its smallest (parent, role, text, score); an empty table gives no rows; extra columns are ignored.
+node) keeps its smallest (parent, role, text, score), compared as one; very long texts are handled whole, and the texts of one conversation meet in one row, its output; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +32,22 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"<(\\*)\\\|", r"<$1|")
 
 
+def distinct_nodes(messages: DataFrame) -> DataFrame:
+    """conv_id, node_id, parent_id, role, text, score: of a repeated node the smallest (parent, role, text, score), taken as one."""
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = messages.where("conv_id is not null and node_id is not null").groupBy(*KEY).agg(F.min(F.struct("parent_id", empty("role"), empty("text"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
+    return written(rows.select(*KEY, "m.*"), "chat-nodes")
+
+
 def choose_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     """conv_id, path_rank, node_id, depth for the n_best best root-to-leaf paths of each conversation.
 
     Branches are ranked by summed score, then depth, both descending, then leaf id."""
-    nodes = written(
-        messages.where("conv_id is not null and node_id is not null")
-        .groupBy(*KEY)
-        .agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
-        .select(*KEY, "m.parent_id", "m.score"),
-        "chat-nodes",
-    )
+    return _paths(distinct_nodes(messages), n_best)
+
+
+def _paths(nodes: DataFrame, n_best: int) -> DataFrame:
+    nodes = nodes.select(*KEY, "parent_id", "score")
     known = nodes.select("conv_id", F.col("node_id").alias("parent_id"))
     linked = nodes.join(known.withColumn("found", F.lit(True)), ["conv_id", "parent_id"], "left")
     hop = written(
@@ -76,11 +81,11 @@ def format_chats(messages: DataFrame, n_best: int = 1) -> DataFrame:
     """One row for each chosen path: conv_id, path_rank, formatted, loss_spans (start from 0 and length, in code points, of each assistant text in `formatted`).
 
     messages: conv_id, node_id, parent_id, role, text, score."""
-    texts = messages.groupBy(*KEY).agg(F.min(F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    rows = choose_paths(messages, n_best).join(texts, KEY)
-    head = F.concat(F.lit(START), F.replace(escape(F.col("m.role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    body = escape(F.col("m.text"))
-    rows = rows.select("conv_id", "path_rank", "depth", (F.col("m.role") == "assistant").alias("learn"), head.alias("head"), body.alias("body"))
+    nodes = distinct_nodes(messages)
+    rows = _paths(nodes, n_best).join(nodes.select(*KEY, "role", "text"), KEY)
+    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
+    body = escape(F.col("text"))
+    rows = rows.select("conv_id", "path_rank", "depth", (F.col("role") == "assistant").alias("learn"), head.alias("head"), body.alias("body"))
     piece = F.concat("head", "body", F.lit(END + "\n"))
     before = Window.partitionBy("conv_id", "path_rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("*", piece.alias("piece")).withColumn("start", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.length("head"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import table
+from skeingraph.llm.common import fresh, table
 
 ROUNDS = 6
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -196,15 +196,16 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     """docs with the values of `column` replaced; `count`: a column for the number of values found (of a run of numbers, its cards)."""
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    docs = docs.withColumn("_found", found)
+    columns, name = docs.columns, fresh(docs, "_found")
+    docs = docs.withColumn(name, found)
     # As the split's pieces stand before, between and after the matches, one empty pseudonym is added at the end.
-    new = F.array_append(F.transform("_found", lambda m: pseudonym(m, key, back)), "")
+    new = F.array_append(F.transform(name, lambda m: pseudonym(m, key, back)), "")
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda p, m: F.concat(p, m)), "")
-    docs = docs.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text))
+    docs = docs.withColumn(column, F.when(F.size(name) > 0, joined).otherwise(text))
     if count:
-        values = F.transform("_found", lambda m: F.when(m.rlike(RUN) & ~m.rlike(rf"^(?:{DATE}|{PHONE})$"), F.size(cards(m))).otherwise(1))
+        values = F.transform(name, lambda m: F.when(m.rlike(RUN) & ~m.rlike(rf"^(?:{DATE}|{PHONE})$"), F.size(cards(m))).otherwise(1))
         docs = docs.withColumn(count, F.coalesce(F.aggregate(values, F.lit(0), lambda n, k: n + k), F.lit(0)).cast("long"))
-    return docs.drop("_found")
+    return docs.select(*columns, *([count] if count and count not in columns else []))
 
 
 def reveal(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -212,10 +213,10 @@ def reveal(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     return pseudonymize(docs, key, column, back=True)
 
 
-#: The key of the registered query; a real run passes its own secret.
-QUERY_KEY = "op8"
+#: The setting that holds the query's key. The key that stands in for it here is no secret: whoever has it can `reveal`.
+KEY_CONF, NO_SECRET = "spark.skeingraph.pii.key", "not a secret"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, QUERY_KEY, count="n_values").select("doc_id", "text", "n_values", F.length("text").cast("long").alias("n_chars"))
+    return pseudonymize(docs, spark.conf.get(KEY_CONF, NO_SECRET), count="n_values").select("doc_id", "text", "n_values", F.length("text").cast("long").alias("n_chars"))

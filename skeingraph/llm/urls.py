@@ -11,7 +11,8 @@ first; pages meet their host's row in an equi-join that adaptive execution split
 Defined results: a null url, or one without `://`, has the empty host and path, an
 empty domain and suffix, and is judged by what is known of that host; null page ids
 are kept; outcomes that are null or of unknown pages count for nothing; without any outcome the overall
-rate is 1/2; repeated pages are judged each, an outcome counts once for each pair of page and label rows.
+rate is 1/2; repeated pages are judged each, an outcome counts once for each pair of page and label rows; urls of any length are read whole; of two rules of one
+length the later one in the order of (rule, verdict) wins; an empty table gives no rows; extra columns are kept, except that host, path, rule, verdict, posterior_mean and posterior_bound are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import lower_ascii, table
+from skeingraph.llm.common import fresh, lower_ascii, table
 
 #: (verdict, host, start of path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -52,32 +53,38 @@ def rule_for(host: Column, path: Column, rules) -> Column:
     return F.array_max(F.array(*hits)) if hits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Prior strength by moments from the groups' n and k: 1 / rho - 1, rho the likeness within a group beyond chance. One row reaches the driver."""
-    g, n, n2, spread = groups.agg(
-        F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum((F.col("k") - F.col("n") * rate) * (F.col("k") - F.col("n") * rate) / F.col("n"))
-    ).first()
-    within = rate * (1 - rate)
-    below = within * (n - n2 / n - (g - 1)) if n else 0
-    rho = (spread - within * (g - 1)) / below if below > 0 else 0
+def _strength(groups: DataFrame) -> float:
+    """Prior strength by moments from the groups' n, k and the rate of their parents: 1 / rho - 1, rho the likeness within a group beyond its parent's rate. One row reaches the driver."""
+    within = F.col("prior") * (1 - F.col("prior"))
+    off = F.col("k") - F.col("n") * F.col("prior")
+    spread, alone, more = groups.agg(F.sum(off * off / F.col("n")), F.sum(within), F.sum(within * (F.col("n") - 1))).first()
+    rho = (spread - alone) / more if more else 0
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
+def _shrunk(groups: DataFrame, name: str) -> DataFrame:
+    """groups with their rate shrunk to that of their parents (`prior`)."""
+    s = _strength(groups)
+    return groups.withColumn(name, (F.col("k") + s * F.col("prior")) / (F.col("n") + s))
+
+
 def host_reputation(outcomes: DataFrame, z: float = 1.64) -> tuple[DataFrame, dict]:
-    """outcomes: host, outcome. Returns hosts with their prior's and posterior's figures, and the levels' tables for hosts never seen."""
+    """outcomes: host, outcome. Returns hosts with their prior's and posterior's figures, and the levels' tables for hosts never seen.
+
+    Each level's strength is measured around its parents' shrunk rates, so what a suffix explains is not counted again below it."""
     suffix, domain = suffix_domain(F.col("host"))
     hosts = (
         outcomes.where("outcome in (0, 1) and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("k"))
         .withColumn("suffix", suffix).withColumn("domain", domain)
-    )
+    )
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()
     rate = k / n if n else 0.5
-    s_suffix, s_domain, s_host = (_strength(t, rate) for t in (suffixes, domains, hosts))
-    suffixes = suffixes.select("suffix", ((F.col("k") + s_suffix * rate) / (F.col("n") + s_suffix)).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix_rate", ((F.col("k") + s_domain * F.col("suffix_rate")) / (F.col("n") + s_domain)).alias("domain_rate"))
-    return hosts.drop("suffix"), {"rate": rate, "suffixes": suffixes, "domains": domains.select("domain", "domain_rate"), "strength": s_host, "z": z}
+    suffixes = _shrunk(suffixes.withColumn("prior", F.lit(rate)), "suffix_rate").select("suffix", "suffix_rate")
+    domains = _shrunk(domains.join(suffixes, "suffix").withColumn("prior", F.col("suffix_rate")), "domain_rate").select("domain", "domain_rate")
+    strength = _strength(hosts.join(domains, "domain").withColumn("prior", F.col("domain_rate")))
+    return hosts.drop("suffix"), {"rate": rate, "suffixes": suffixes, "domains": domains, "strength": strength, "z": z}
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.6, z: float = 1.64) -> DataFrame:
@@ -93,9 +100,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.6
     a, b = k + s * prior, n - k + s * (1 - prior)
     mean = a / (a + b)
     hosts = hosts.select("host", mean.alias("posterior_mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("posterior_bound"))
-    out = pages.join(hosts, "host").withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("posterior_bound") >= least, "allow").otherwise("block"))
-    return out.withColumn("rule", F.col("hit.rule")).withColumn("verdict", verdict).drop("hit")
+    # A caller's columns of these names give way, all others stay.
+    out = pages.drop("posterior_mean", "posterior_bound").join(hosts, "host")
+    hit = fresh(out, "hit")
+    out = out.withColumn(hit, rule_for(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col(f"{hit}.verdict"), F.when(F.col("posterior_bound") >= least, "allow").otherwise("block"))
+    return out.withColumn("rule", F.col(f"{hit}.rule")).withColumn("verdict", verdict).drop(hit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +119,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(least: float = 0.6, z: float = 1.64) -> str:
     two = ", ".join(f"'{x}'" for x in TWO_LABELS)
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    strength = lambda t: f"""(SELECT CASE WHEN below > 0 AND (spread - w * (g - 1)) / below > 0 THEN least({STRONGEST}, greatest({WEAKEST}, 1 / ((spread - w * (g - 1)) / below) - 1)) ELSE {STRONGEST} END FROM (
-      SELECT count(*) AS g, any_value(r * (1 - r)) AS w, any_value(r * (1 - r)) * (sum(n) - sum(n * n)::DOUBLE / sum(n) - (count(*) - 1)) AS below, sum((k - n * r) * (k - n * r) / n) AS spread FROM {t}, overall))"""
+    strength = lambda t, rate: f"""(SELECT CASE WHEN more > 0 AND spread > alone THEN least({STRONGEST}, greatest({WEAKEST}, more / (spread - alone) - 1)) ELSE {STRONGEST} END FROM (
+      SELECT sum((k - n * r) * (k - n * r) / n) AS spread, sum(r * (1 - r)) AS alone, sum(r * (1 - r) * (n - 1)) AS more FROM (SELECT n, k, {rate} AS r FROM {t})))"""
     return f"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -128,9 +138,11 @@ hosts AS (
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 overall AS (SELECT coalesce(sum(k)::DOUBLE / sum(n), 0.5) AS r FROM suffixes),
-s AS (SELECT {strength("suffixes")} AS ss, {strength("domains")} AS sd, {strength("hosts")} AS sh),
-sr AS (SELECT suffix, (k + ss * r) / (n + ss) AS suffix_rate FROM suffixes, s, overall),
-dr AS (SELECT domain, (k + sd * suffix_rate) / (n + sd) AS domain_rate FROM domains JOIN sr USING (suffix), s),
+ss AS (SELECT {strength("suffixes, overall", "overall.r")} AS ss),
+sr AS (SELECT suffix, (k + ss * r) / (n + ss) AS suffix_rate FROM suffixes, ss, overall),
+sd AS (SELECT {strength("domains JOIN sr USING (suffix)", "suffix_rate")} AS sd),
+dr AS (SELECT domain, (k + sd * suffix_rate) / (n + sd) AS domain_rate FROM domains JOIN sr USING (suffix), sd),
+s AS (SELECT {strength("hosts JOIN dr USING (domain)", "domain_rate")} AS sh),
 ab AS (
   SELECT h.host, coalesce(k, 0) + sh * coalesce(domain_rate, suffix_rate, r) AS a, coalesce(n, 0) - coalesce(k, 0) + sh * (1 - coalesce(domain_rate, suffix_rate, r)) AS b
   FROM h LEFT JOIN hosts USING (host) LEFT JOIN dr ON dr.domain = h.domain LEFT JOIN sr ON sr.suffix = h.suffix, s, overall),

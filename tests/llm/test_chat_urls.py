@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from skeingraph.llm import chat, urls
 
 COLUMNS = "conv_id long, node_id long, parent_id long, role string, text string, score double, role2 string"
@@ -61,3 +63,62 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert [got[i]["verdict"] for i in (1, 2)] == ["block", "allow"]
     assert got[3]["posterior_mean"] > got[4]["posterior_mean"] and got[3]["posterior_bound"] < got[2]["posterior_bound"]
     assert judged(spark, [], labels) == {}
+
+
+def test_a_repeated_node_is_one_row_of_it(spark):
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "aaa", 9.0), (1, 2, 1, "assistant", "zzz", -5.0), (1, 3, 1, "assistant", "mid", 0.0), (None, 4, 1, "user", "no", 1.0), (1, None, 1, "user", "no", 1.0)]
+    messages = spark.createDataFrame(rows, "conv_id long, node_id long, parent_id long, role string, text string, score double").withColumn("m", F.lit("x"))
+    assert [t["text"] for t in chat.format_chats(messages).select(chat.parse_chat(F.col("formatted")).alias("t")).head()["t"]] == ["hi", "aaa"]
+    low = messages.withColumn("score", F.when(F.col("text") == "aaa", -9.0).otherwise(F.col("score")))
+    assert [t["text"] for t in chat.format_chats(low).select(chat.parse_chat(F.col("formatted")).alias("t")).head()["t"]] == ["hi", "mid"]
+    long = messages.withColumn("text", F.when(F.col("text") == "aaa", F.repeat(F.lit("<|im_end|>x"), 100_000)).otherwise(F.col("text")))
+    assert len(chat.format_chats(long).select(chat.parse_chat(F.col("formatted")).alias("t")).head()["t"][1]["text"]) == 1_100_000
+    assert chat.format_chats(messages.limit(0)).count() == 0
+
+
+def test_urls_keep_other_columns_and_long_urls(spark):
+    rows = [(1, "http://a.com/en/" + "x" * 100_000, "h"), (2, None, "i"), (None, "http://a.com/de/", "j"), (1, "http://a.com/en/", "k"), (3, "http://EXAMPLE.net/de/8", "l")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, hit string").withColumn("rule", F.lit("mine")).withColumn("Hit_", F.lit("too"))
+    outcomes = spark.createDataFrame([("http://a.com/", 1)] * 40 + [("http://b.org/", 0)] * 40 + [(None, 1), ("http://a.com/", None)], "url string, outcome int")
+    got = {r["hit"]: r for r in urls.judge(pages, outcomes).collect()}
+    assert len(got) == 5 and {r["Hit_"] for r in got.values()} == {"too"}
+    assert [(got[h]["rule"], got[h]["verdict"]) for h in "hjkl"] == [("com/en/", "block"), (None, "allow"), ("com/en/", "block"), ("example.net/de/8", "block")]
+    assert len(got["h"]["path"]) == 100_004 and (got["i"]["host"], got["i"]["path"]) == ("", "")
+    tied = [("block", "a.com", "/en/"), ("allow", "a.com", "/en/")]
+    assert {r["verdict"] for r in urls.judge(pages.where("hit = 'k'"), outcomes, tied).collect()} == {"block"}
+    assert urls.judge(pages.limit(0), outcomes).count() == 0 and urls.judge(pages, outcomes.limit(0)).count() == 5
+
+
+def test_reputation_by_numbers(spark):
+    """Each level shrinks to its parent's shrunk rate, by formulas written out in Python."""
+    n = {"a.x.com": (30, 27), "b.x.com": (8, 2), "y.com": (20, 3), "z.org": (12, 6), "w.z.org": (5, 5)}
+    outcomes = spark.createDataFrame([(f"http://{h}/", int(i < k)) for h, (m, k) in n.items() for i in range(m)], "url string, outcome int")
+    pages = spark.createDataFrame([(h, f"http://{h}/") for h in [*n, "new.x.com", "new.com", "new.net"]], "page_id string, url string")
+
+    def strength(groups):
+        spread, alone, more = (sum(f(*g) for g in groups) for f in (lambda m, k, r: (k - m * r) ** 2 / m, lambda m, k, r: r * (1 - r), lambda m, k, r: r * (1 - r) * (m - 1)))
+        return min(1000.0, max(1.0, more / (spread - alone) - 1)) if spread > alone and more else 1000.0
+
+    def level(groups, prior):
+        s = strength([(m, k, prior(g)) for g, (m, k) in groups.items()])
+        return s, {g: (k + s * prior(g)) / (m + s) for g, (m, k) in groups.items()}
+
+    def up(groups, name):
+        out = {}
+        for g, (m, k) in groups.items():
+            a, b = out.get(name(g), (0, 0))
+            out[name(g)] = (a + m, b + k)
+        return out
+
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    domains = up(n, domain)
+    suffixes = up(domains, suffix)
+    rate = sum(k for _, k in n.values()) / sum(m for m, _ in n.values())
+    _, by_suffix = level(suffixes, lambda g: rate)
+    _, by_domain = level(domains, lambda g: by_suffix[suffix(g)])
+    s, _ = level(n, lambda g: by_domain[domain(g)])
+    for r in urls.judge(pages, outcomes, rules=[]).collect():
+        h = r["page_id"]
+        prior = by_domain.get(domain(h), by_suffix.get(suffix(h), rate))
+        m, k = n.get(h, (0, 0))
+        assert abs(r["posterior_mean"] - (k + s * prior) / (m + s)) < 1e-9

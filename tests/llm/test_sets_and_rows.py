@@ -207,3 +207,10 @@ def test_packing_takes_the_tightest_compatible_bin():
         bins[k]["room"] -= size
         bins[k]["clusters"].add(cluster)
         bins[k]["sources"].append(source)
+
+
+def test_pseudonyms_keep_columns_of_any_name(spark):
+    docs = frame(spark, ["mail a@b.example.org", None]).withColumn("_found", F.lit("mine")).withColumn("_FOUND_", F.lit(1)).withColumn("n", F.lit("old"))
+    out = pii.pseudonymize(docs, "key", count="n")
+    assert out.columns == docs.columns and {(r["_found"], r["_FOUND_"]) for r in out.collect()} == {("mine", 1)}
+    assert [r["n"] for r in out.orderBy("doc_id").collect()] == [1, 0]
