@@ -7,33 +7,33 @@ the document labels shares the blame among sentences, so the trained model also
 locates the offending ones. Features of a word: the word itself (letters and
 digits, A-Z lowered) and its first 3 to 6 characters, so unseen forms of a known stem are caught.
 
-The model is fitted on the driver on at most `sample` labelled rows, chosen by a hash
-of doc_id; scoring is a row-wise pass over all whole texts without any shuffle.
+The model is fitted on at most `sample` labelled rows of at most `chars` characters, chosen by a hash of
+doc_id: features are counted on the executors, and only the chosen ones' numbers by sentence reach the driver. Scoring
+is a row-wise pass over all whole texts without any shuffle.
 
 Defined results: null or empty text has no sentence and scores 0; rows with a null
 label are not learnt from; without rows of both labels every document scores 0; repeated rows are scored each and
-learnt from each; a null doc_id is scored, not learnt from; extra columns are kept
-by `filter_toxic`, ignored elsewhere. Ties: a score of exactly the threshold counts as toxic.
+learnt from each, but equal rows of one doc_id once where such rows exceed the sample; a null doc_id is scored, not learnt from; extra columns, whatever their
+names, are kept by `filter_toxic`; `with_score` replaces a column of the name that it is given. Ties: a score of exactly the threshold counts as toxic.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import table
+from skeingraph.llm.common import fresh, table, written
 
 SENTENCES = re.compile(r"[.!?\n\r]+")
 TOKEN = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
-#: Labelled rows that a model is fitted on, at most.
-SAMPLE = 4000
+#: Labelled rows that a model is fitted on, and their characters in all, at most.
+SAMPLE, CHARS = 4000, 50_000_000
 #: Features that a model has, at most; documents with a feature, at least.
 FEATURES, LEAST = 4000, 3
 
@@ -50,48 +50,49 @@ def _words(sentence: str) -> set[str]:
     return set(TOKEN.findall(sentence.lower()))
 
 
-def fit(rows: list[tuple[str | None, int]], steps: int = 400, rate: float = 0.2, l2: float = 3e-5) -> dict:
-    """{'bias', 'weights'} from (text, label) rows. Candidates: the features whose document counts lean most to label 1."""
-    bags = [([_words(s) for s in sentences(t)], int(y)) for t, y in rows if y in (0, 1)]
-    total = Counter(y for _, y in bags)
-    if not total[0] or not total[1]:
-        return {"bias": -50.0, "weights": {}}
-    seen = {0: Counter(), 1: Counter()}
-    for bag, y in bags:
-        seen[y].update({f for s in bag for w in s for f in features(w)})
-    lean = {}
-    for f, n in seen[1].items():
-        m = seen[0][f]
-        if n >= LEAST:
-            p, q, r = n / total[1], m / total[0], (n + m) / (total[0] + total[1])
-            z = (p - q) / np.sqrt(r * (1 - r) * (1 / total[0] + 1 / total[1]) + 1e-12)
-            odds = np.log((n + 0.5) / (total[1] + 1)) - np.log((m + 0.5) / (total[0] + 1))
-            if z >= 3 and odds >= 1:
-                lean[f] = (z, f)
-    chosen = {f: i for i, (_, f) in enumerate(sorted(lean.values(), reverse=True)[:FEATURES])}
-    at, col, doc = [], [], []
-    for d, (bag, _) in enumerate(bags):
-        for s in bag:
-            hits = {chosen[f] for w in s for f in features(w) if f in chosen}
-            at += [len(doc)] * len(hits)
-            col += hits
-            doc.append(d)
-    at, col, doc = (np.array(x, np.int64) for x in (at, col, doc))
-    y = np.array([y for _, y in bags], float)
-    x = np.zeros(len(chosen) + 1)
+def counted(rows) -> dict[str, list[int]]:
+    """Of each feature: the documents of label 0 and of label 1 that have it. rows: (text, label)."""
+    seen: dict[str, list[int]] = {}
+    for text, y in rows:
+        for f in {f for s in sentences(text) for w in _words(s) for f in features(w)}:
+            seen.setdefault(f, [0, 0])[y] += 1
+    return seen
+
+
+def lean(n: Column, m: Column, total: dict[int, int]) -> tuple[Column, Column]:
+    """How far a feature of n documents of label 1 and m of label 0 leans to label 1: in standard deviations, and as log odds."""
+    p, q, r = n / total[1], m / total[0], (n + m) / (total[0] + total[1])
+    z = (p - q) / F.sqrt(r * (1 - r) * (1 / total[0] + 1 / total[1]) + 1e-12)
+    return z, F.log((n + 0.5) / (total[1] + 1)) - F.log((m + 0.5) / (total[0] + 1))
+
+
+def sparse(text: str | None, chosen: dict[str, int]) -> tuple[int, list[list[int]]]:
+    """A bag: its number of sentences without a chosen feature, and the features of each other sentence."""
+    found = [sorted({chosen[f] for w in _words(s) for f in features(w) if f in chosen}) for s in sentences(text)]
+    return sum(not x for x in found), [x for x in found if x]
+
+
+def ascend(labels: np.ndarray, plain: np.ndarray, bags: np.ndarray, sizes: np.ndarray, col: np.ndarray, n: int, steps: int = 400, rate: float = 0.2, l2: float = 3e-5) -> np.ndarray:
+    """Weights of n features and the bias, by gradient ascent on the likelihood of the bags' labels.
+
+    plain: a bag's sentences without features; bags, sizes: of each other sentence its bag and its number of features; col: these features."""
+    at, y = np.repeat(np.arange(len(sizes)), sizes), labels.astype(float)
+    x = np.zeros(n + 1)
     x[-1] = -4.0
-    m1, m2, n_s = np.zeros_like(x), np.zeros_like(x), len(doc)
+    m1, m2 = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        z = x[-1] + np.bincount(at, x[col], n_s)
+        z = x[-1] + np.bincount(at, x[col], len(bags))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of the chance that no sentence is toxic
+        p0 = 1 / (1 + np.exp(-np.clip(x[-1], -40, 40)))
+        log_not = lambda v: np.log1p(-np.minimum(v, 1 - 1e-12))
+        none = plain * log_not(p0) + np.bincount(bags, log_not(p), len(y))  # log of the chance that no sentence is toxic
         # d/dz of log(1 - prod) is p * prod / (1 - prod), of log(prod) it is -p
-        odds = np.exp(none) / np.maximum(-np.expm1(none), 1e-12)
-        g = p * np.where(y[doc] == 1, odds[doc], -1.0)
-        grad = np.append(np.bincount(col, g[at], len(chosen)), g.sum()) / len(y) - l2 * np.append(x[:-1], 0)
+        pull = np.where(y == 1, np.exp(none) / np.maximum(-np.expm1(none), 1e-12), -1.0)
+        g = p * pull[bags]
+        grad = np.append(np.bincount(col, g[at], n), g.sum() + (p0 * plain * pull).sum()) / len(y) - l2 * np.append(x[:-1], 0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         x += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
-    return {"bias": float(x[-1]), "weights": {f: float(x[i]) for f, i in chosen.items()}}
+    return x
 
 
 class Scorer:
@@ -123,14 +124,54 @@ class Scorer:
         return float(0.0 - np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fits on at most `sample` labelled rows of docs (doc_id, text) and labels (doc_id, toxic).
-
-    Only the sampled ids are broadcast, `sample` at most, so texts are neither shuffled nor sorted."""
-    chosen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    return fit(list(zip(rows["text"].tolist(), rows["toxic"].tolist(), strict=True)))
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> DataFrame:
+    """text, toxic of at most `sample` rows with at most `chars` characters in all, the first by a hash of doc_id; whole texts.
+
+    Only sampled ids are broadcast, `sample` at most; no text reaches the driver."""
+    chosen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = written(rows.withColumn("at", F.xxhash64("doc_id", "text", "toxic")).withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long")), "toxicity-rows")
+    # A repeated doc_id makes more rows, so they are bounded once more, by rows and by characters.
+    first = rows.select("at", "n").orderBy("at").limit(sample).toArrow()
+    n = int(np.searchsorted(np.cumsum(first["n"].to_numpy()), chars, "right"))
+    last = first["at"][n].as_py() if n < len(first) else None
+    repeated = rows.count() > len(first)
+    rows = rows.where(F.col("at") < last) if last is not None else rows.where(F.col("at") <= first["at"][-1].as_py()) if repeated else rows
+    return rows.dropDuplicates(["at"]).select("text", "toxic") if repeated else rows.select("text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> dict:
+    """{'bias', 'weights'} from the labelled rows of docs (doc_id, text) and labels (doc_id, toxic) that `sampled` takes.
+
+    Features are counted on the executors; what reaches the driver is at most FEATURES of them, and the numbers of those that each sentence has."""
+    spark, nothing = docs.sparkSession, {"bias": -50.0, "weights": {}}
+    rows = sampled(docs, labels, sample, chars)
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not total.get(0) or not total.get(1):
+        return nothing
+
+    def count(parts):
+        for pdf in parts:
+            seen = counted(zip(pdf["text"], pdf["toxic"], strict=True))
+            yield pd.DataFrame({"feature": list(seen), "m": [x[0] for x in seen.values()], "n": [x[1] for x in seen.values()]}, dtype=object)
+
+    z, odds = lean(F.col("n"), F.col("m"), total)
+    found = rows.mapInPandas(count, "feature string, m long, n long").groupBy("feature").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= LEAST).select("feature", z.alias("z"), odds.alias("odds")).where("z >= 3 and odds >= 1")
+    chosen = {r["feature"]: i for i, r in enumerate(found.orderBy(F.desc("z"), F.desc("feature")).limit(FEATURES).select("feature").collect())}
+    held = spark.sparkContext.broadcast(chosen)
+
+    def bag(parts):
+        for pdf in parts:
+            bags = [sparse(t, held.value) for t in pdf["text"]]
+            yield pd.DataFrame({"toxic": pdf["toxic"], "plain": [p for p, _ in bags], "sizes": [[len(x) for x in b] for _, b in bags], "cols": [[i for x in b for i in x] for _, b in bags]})
+
+    got = rows.mapInPandas(bag, "toxic int, plain long, sizes array<int>, cols array<int>").toArrow().combine_chunks()
+    held.unpersist()
+    flat = lambda name: got[name].combine_chunks()
+    bags = np.repeat(np.arange(len(got)), np.diff(np.asarray(flat("sizes").offsets)))
+    x = ascend(got["toxic"].to_numpy(), got["plain"].to_numpy(), bags, np.asarray(flat("sizes").flatten(), np.int64), np.asarray(flat("cols").flatten(), np.int64), len(chosen))
+    return {"bias": float(x[-1]), "weights": {f: float(x[i]) for f, i in chosen.items()}}
 
 
 def with_score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
@@ -172,8 +213,8 @@ def held_out(doc_id, mod: int, rest: int):
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below `threshold`, with their columns."""
-    model = train(docs, labels)
-    return with_score(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    column = fresh(docs, "_toxicity")
+    return with_score(docs, train(docs, labels), column).where(F.col(column) < threshold).drop(column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
