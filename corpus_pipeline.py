@@ -1,6 +1,10 @@
 """The corpus pipeline: toxic documents go, one document of each group of near copies stays, personal data become pseudonyms, and what is left is packed.
 
 Each stage is written as Parquet in the shared folder and read again as the next one's documents.
+
+Defined results, in every stage: null and empty texts are kept; rows that repeat a doc_id are judged each for itself, and where they are near copies of each
+other or of other documents one row of the group stays; a row without a doc_id stays until packing, which leaves it out; columns besides those of documents are kept up to
+packing, whatever their names; an empty table gives an empty table; texts of any length are worked on whole; a document that scores exactly the threshold is toxic.
 """
 
 from __future__ import annotations
@@ -11,9 +15,6 @@ from pyspark.sql import functions as F
 from skeingraph.llm import jaccard, packing, pii, toxicity
 from skeingraph.llm.common import table, written
 
-#: The key of the registered pipeline's pseudonyms; a real run passes its own secret.
-KEY = "pipeline"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learns from all labelled documents."""
@@ -27,11 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars counted again."""
-    return pii.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymize(docs, spark.conf.get(pii.KEY_CONF, pii.NO_SECRET)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, offset of every piece of every document."""
+    """doc_id, piece, start, length, bin_id, offset of every piece of every document. Each document left stands alone in its group of near copies, so clusters are those of exact texts, which repeated wordless texts still form."""
     return packing.pack_documents(docs)
 
 

@@ -1,20 +1,19 @@
-"""What the operators share: table reading, the shared work folder, hashing in blocks."""
+"""What the operators share: table reading, bucketed tables, hashing in blocks."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeingraph.session import remove, shared_dir, written  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that ends a word: \x20 and \x09-\x0D. bytes.split() without arguments splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,33 +32,9 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the cluster names; a folder of our own only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="skein-", dir="/tmp/checkpoints")
-    return _OWN[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone, and its gateway with it
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that are written: it looks for them only when the driver collects garbage."""
+    spark._jvm.System.gc()
 
 
 def _forget(spark: SparkSession, name: str) -> None:
@@ -75,7 +50,7 @@ def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     atexit.register(_forget, spark, name)
     return spark.table(name)
 
@@ -111,21 +86,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, SLICE + 1), _powers(_INVERSE, SLICE + 1)
 
 
-def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of a run of bytes that is no word's part."""
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """uint64 hashes of the spans from start to end of a run of codes (random uint64 for each letter): a polynomial, and the length. Weak on spans of over LONG_WORD letters."""
+    n = len(codes)
+    up, down = (_UP, _DOWN) if n <= SLICE else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a run of bytes that is no word's part."""
     import xxhash
 
     gap = np.concatenate([[True], _SPACE[data], [True]])
     turn = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = turn[::2], turn[1::2]
-    n = len(data)
-    up, down = (_UP, _DOWN) if n <= SLICE else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = span_hashes(_CODE[data], start, end)
     for i in np.flatnonzero(end - start > LONG_WORD):
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes().lower())
-    return h, start, end
+    return h, start
 
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +147,7 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
             # A gap between texts, so that no word reaches from one into the next.
             part = np.insert(part, inner, 32)
             inner = inner + np.arange(len(inner))
-        h, start, _ = _slice_words(part)
+        h, start = _slice_words(part)
         hashes.append(h)
         bounds = np.concatenate([[0], np.searchsorted(start, inner), [len(start)]])
         texts_here = np.searchsorted(offsets, np.concatenate([[at], own[(own > at) & (own < end)]]), "right") - 1

@@ -16,7 +16,7 @@ Set-relation skipping, in four steps:
    out are skipped: if a shingle at positions i and j is the first common one, the overlap is
    min(n - i, m - j) at most.
 4. The rest. In lists that still hold several classes, the sets outside of a list's largest
-   class are compared with the whole list, except where the computed answers of both
+   class are compared with the blocks of the list whose sizes they can link with, except where the computed answers of both
    exclude a link: Jaccard distance is a metric, so d(a, b) >= |d(a, r) - d(b, r)| for the
    list's leader r. No pair that could join two classes is left out, and a group of copies costs its size, not its square.
 
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeingraph.llm.common import map_texts, mix, planes, table, unplanes, word_hashes, written
+from skeingraph.llm.common import fresh, map_texts, mix, planes, release, table, unplanes, word_hashes, written
 
 SHINGLE, PERCENT = 5, 75
 #: The maps have 2**BITS bits and 2**CLASS_BITS classes, whatever the input; least number of counting buckets (a power of two).
@@ -120,7 +120,7 @@ def _counted(docs: DataFrame, size: int) -> dict[str, bytearray]:
 
 
 def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, key (two numbers that stand for the set), tokens and positions of the indexed prefix, and the whole set where there is such a prefix."""
+    """Written: doc_id, n, key (two numbers that stand for the set), tokens and positions of the indexed prefix, and the whole set where there is such a prefix."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     maps = docs.sparkSession.sparkContext.broadcast(_counted(docs, size))
 
@@ -146,7 +146,10 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 rows.append((d, n, k1, k2, tokens.view(np.int64), pos.astype(np.int32), s.tobytes() if len(tokens) else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "tokens", "positions", "whole"])
 
-    return map_texts(docs, run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary")
+    rows = written(map_texts(docs, run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary"), "jaccard-profiles")
+    maps.destroy()
+    release(docs.sparkSession)
+    return rows
 
 
 def _ends(key, pdf):
@@ -220,9 +223,14 @@ def _fits(x: str, y: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= F.floor(least_overlap(n, m, percent)))
 
 
+def _block(n, percent: int):
+    """Number of a set's block by its size; sizes of one block and the next differ by a little more than sets that link can."""
+    return F.floor(F.log(n.cast("double")) / np.log(100.5 / percent)).cast("int")
+
+
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; docs: doc_id, text."""
-    rows = written(profiles(docs, size, percent), "jaccard-profiles")
+    rows = profiles(docs, size, percent)
     small = rows.select("doc_id", "n", "k1", "k2")
     if small.groupBy("doc_id").count().where("count > 1").isEmpty():
         once = rows
@@ -249,6 +257,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         several = named.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
         return named.join(several, "token", "left_semi")
 
+    release(docs.sparkSession)
     # A set of the list's largest class label leads the second comparison.
     rest = mixed()
     second = rest.groupBy("token").agg(F.max(F.struct("class", "rep", "n", "pos")).alias("l")).select("token", F.col("l.rep").alias("b"), *[F.col(f"l.{c}").alias(f"{c}_2") for c in ("class", "n", "pos")])
@@ -264,38 +273,45 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     largest = rest.groupBy("token", "class").count().groupBy("token").agg(F.max(F.struct("count", "class")).alias("m")).select("token", F.col("m.class").alias("largest"))
     minority = rest.join(largest, "token").where("class != largest").select("token", F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("n", "pos", "class", "d")])
     near = F.coalesce(F.abs(F.col("d") - F.col("d_x")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = minority.join(rest, "token").where((F.col("class") != F.col("class_x")) & near & _fits("", "_x", percent))
+    # Blocks of a list by size: a set can link with those of its own block and of the two beside it, the others are skipped before the join.
+    asked = minority.withColumn("block", F.explode(F.sequence(_block(F.col("n_x"), percent) - 1, _block(F.col("n_x"), percent) + 1)))
+    pairs = asked.join(rest.withColumn("block", _block(F.col("n"), percent)), ["token", "block"]).where((F.col("class") != F.col("class_x")) & near & _fits("", "_x", percent))
     pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = written(verified(pairs.join(done, ["a", "b"], "left_anti"), sets), "jaccard-answers")
     if not last.where(is_link).isEmpty():
         classes = components(answers.unionByName(last).where(is_link))
+    release(docs.sparkSession)
     return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def row_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs with an id, with a number `_row` of each, also where ids repeat; and the _component of each _row.
+def row_components(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """The rows of docs with an id, with a struct<rank, row> that tells them apart also where ids repeat, and that struct's name; and the _component of each _row.
 
     A row's number is its doc_id, or a hash for the second and later rows (by text) of one doc_id."""
-    rows = docs.where("doc_id is not null")
+    rows, name = docs.where("doc_id is not null"), fresh(docs, "_near")
     rank = F.lit(0)
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeated:
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))) - 1
-    rows = rows.withColumn("_rank", rank).withColumn("_row", F.when(F.col("_rank") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_rank")))
+    number = fresh(docs, "_number")
+    rows = rows.withColumn(number, rank)
+    row = F.when(F.col(number) == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", number))
+    rows = rows.withColumn(name, F.struct(F.col(number).alias("rank"), row.alias("row"))).drop(number)
     if repeated:
         rows = written(rows, "jaccard-rows")
-    found = near_copies(rows.select(F.col("_row").alias("doc_id"), "text"))
-    return rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    found = near_copies(rows.select(F.col(f"{name}.row").alias("doc_id"), "text"))
+    return rows, name, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies, with its columns: the smallest id, of a repeated id the first row by text; rows without an id stay.
 
     Rows are compared each for itself, also where they share an id."""
-    rows, found = row_components(docs)
-    firsts = rows.select("_row", "doc_id", "_rank").join(found, "_row").groupBy("_component").agg(F.min(F.struct("doc_id", "_rank", "_row")).alias("m"))
-    kept = rows.join(firsts.select(F.col("m._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    rows, name, found = row_components(docs)
+    marks = rows.select(F.col(f"{name}.row").alias("_row"), "doc_id", F.col(f"{name}.rank").alias("_rank"))
+    firsts = marks.join(found, "_row").groupBy("_component").agg(F.min(F.struct("doc_id", "_rank", "_row")).alias("m")).select(F.col("m._row").alias("_first"))
+    kept = rows.join(firsts, F.col(f"{name}.row") == F.col("_first"), "left_semi").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -28,3 +28,24 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert "me@mail" not in seen[2][92]["text"] and seen[2][92]["text"].startswith("mail ") and seen[2][1]["text"] == texts[1]
     assert set(seen[3]) == set(seen[2])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[3])
+
+
+def test_stages_keep_odd_rows(spark, tmp_path):
+    """Empty tables, repeated and missing ids, nulls and clashing columns."""
+    names = COLUMNS + ", _toxicity string, _found string, _row long, _rank long, _component long"
+    rows = [(1, "a b c d e f g", "en", "s", 13), (1, "h i j k l m n", "en", "s", 13), (1, "a b c d e f g", None, None, None), (2, "h i j k l m n", "en", None, 13), (None, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, "t", "f", 7, 8, 9) for r in rows], names)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for source in (docs, docs.limit(0)):
+        left = source
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            left = stage(spark, left, str(tmp_path))
+            if k < 3:
+                assert left.columns == docs.columns, name
+                left.write.mode("overwrite").parquet(f"{tmp_path}/{k}-{source is docs}")
+                left = spark.read.parquet(f"{tmp_path}/{k}-{source is docs}")
+                if k == 1 and source is docs:
+                    got = sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect())
+                    assert got == sorted([("1", "a b c d e f g"), ("1", "h i j k l m n"), ("None", "a b c d e f g"), ("3", ""), ("4", "")])
+                    assert {(r["_toxicity"], r["_found"], r["_row"], r["_rank"], r["_component"]) for r in left.collect()} == {("t", "f", 7, 8, 9)}
+        assert sorted(r["doc_id"] for r in left.collect()) == ([1, 1, 3, 4] if source is docs else [])
