@@ -8,12 +8,14 @@ has to be stored, and `reveal` (the same network backwards) restores them.
   numbers stand in a row, separated by one space or hyphen, each group and each row of groups of 3 digits or more is tried, so a
   neighbour does not hide a card; a pseudonym that would make other groups the row's cards is permuted again, at most WALK times in all, so there a card's pseudonym may differ
   from the one it has alone, and after WALK steps may not come back. Cards in groups of 1 or 2 digits are found only where they are the whole row;
+* IBANs (compact or in groups of four, check digits by modulus 97): the account part is permuted character by character, the check digits are computed again;
+* US social security numbers (NNN-NN-NNNN; area not 000, 666 or 9NN, no part all zeros): a permutation of the 898 x 99 x 9999 valid ones;
 * IPv4 addresses (four octets): a permutation of 32 bits, halves of 16;
-* dates (YYYY-MM-DD, D/M/YYYY, D.M.YYYY; real dates of 1700 to 2099): the number of the day among
+* dates (YYYY-MM-DD, YYYY/MM/DD, D/M/YYYY, D.M.YYYY, D-M-YYYY; real dates of 1700 to 2099): the number of the day among
   the 146,097 of that Gregorian cycle is permuted as 27 x 5411, so one date in two formats stays one date;
 * phone numbers: the digits after a leading +1 are permuted, punctuation stays;
-* e-mail addresses: letters stay letters and digits digits, up to the last dot;
-* credentials (access keys, hex secrets after password, token, secret or key, in small letters or capitals): as e-mail, hex digits stay hex digits.
+* e-mail addresses: letters stay letters and digits digits, up to the last dot; spellings that differ in capitals alone are permuted as one and keep their capitals, so they stay linked;
+* credentials (access keys, `sk-` keys, hex secrets after password, token, secret or key, in small letters or capitals): as e-mail, hex digits stay hex digits.
 
 The work is a regular expression's two passes over a text that has a digit or @, and
 hashing for what was found only; there is no shuffle. Possessive runs and look-behinds keep the expression linear on long texts.
@@ -33,13 +35,15 @@ ROUNDS = 6
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-DATE = r"(?<![\d.-])\d{4}-\d\d-\d\d(?![\d-])|(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)"
+SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+DATE = r"(?<![\d.-])\d{4}-\d\d-\d\d(?![\d-])|(?<![\d/])\d{4}/\d\d/\d\d(?![\d/])|(?<![\w-])\d{1,2}-\d{1,2}-\d{4}(?![\w-])|(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)"
 #: A run of numbers of up to 19 digits with 13 digits or more, up to the next value of another kind; `cards` finds the cards in it.
 CARD = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\w)(?:(?: (?!{EMAIL}|{IP}|{DATE}|{PHONE})|-(?!{PHONE}))\d{{1,19}}+(?!\w))*+"
 RUN = r"^\d{1,19}(?:[ -]\d{1,19})*$"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|token|secret|key) ?[=:] ?[\"']?)[0-9a-fA-F]{16,}+(?![A-Za-z0-9])"
-PATTERN = "|".join((EMAIL, IP, DATE, PHONE, CARD, SECRET))
+SECRET = r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_]{20,}+(?![A-Za-z0-9_])|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|token|secret|key) ?[=:] ?[\"']?)[0-9a-fA-F]{16,}+(?![A-Za-z0-9])"
+PATTERN = "|".join((EMAIL, IBAN, SSN, IP, DATE, PHONE, CARD, SECRET))
 
 
 def _number(text: Column, key: str, r: int, domain: str) -> Column:
@@ -128,6 +132,37 @@ def _card(m: Column, key: str, back: bool) -> Column:
     return _into(m, F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of a run of digits and capitals, letters read as 10 to 35."""
+    step = lambda a, c: F.when(c.rlike("^[0-9]$"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
+
+
+def _iban(m: Column, key: str, back: bool) -> Column:
+    """The pseudonym of a valid IBAN; others as they are."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+    valid = _mod97(F.concat(rest, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1
+    new = feistel_chars(rest, key, "iban", back)
+    whole = F.transform(F.array(new), lambda r: F.concat(country, F.lpad((98 - _mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))[0]
+    return F.when(~valid, m).when(m.contains(" "), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
+
+
+def _ssn(m: Column, key: str, back: bool) -> Column:
+    part = F.split(m, "-")
+    n = lambda i: F.get(part, F.lit(i)).try_cast("bigint")
+    # Areas 001 to 899 without 666, from 0 on.
+    area = n(0) - 1 - F.when(n(0) > 666, 1).otherwise(0)
+    a, b = feistel_pair(area, (n(1) - 1) * 9999 + n(2) - 1, 898, 99 * 9999, key, "ssn", back)
+    pad = lambda c, k: F.lpad(c.cast("bigint").cast("string"), k, "0")
+    return F.concat_ws("-", pad(a + 1 + F.when(a >= 665, 1).otherwise(0), 3), pad(F.floor(b / 9999) + 1, 2), pad(b % 9999 + 1, 4))
+
+
+def _cased(new: Column, like: Column) -> Column:
+    """new, a text in small letters, with capitals where `like` has them."""
+    return F.array_join(F.zip_with(F.split(new, ""), F.split(like, ""), lambda n, o: F.when(o.rlike("^[A-Z]$"), F.upper(n)).otherwise(n)), "")
+
+
 #: Steps of a walk at most; one in ten or fewer of a run's pseudonyms needs a further step.
 WALK = 10
 
@@ -166,24 +201,27 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     ip = F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(hi, 8), hi % 256, F.shiftright(lo, 8), lo % 256)])
     first, cycle = F.lit("1700-01-01").cast("date"), 27 * 5411
     part = F.split(m, r"[-/.]")
-    iso = m.rlike(r"^\d{4}-")
+    iso = m.rlike(r"^\d{4}[-/]")
     p = lambda i: F.lpad(F.get(part, F.lit(i)), 2, "0")
-    date = F.when(iso, m).otherwise(F.concat_ws("-", F.get(part, F.lit(2)), p(1), p(0))).try_cast("date")
+    date = F.when(iso, F.concat_ws("-", part)).otherwise(F.concat_ws("-", F.get(part, F.lit(2)), p(1), p(0))).try_cast("date")
     day = F.date_diff(date, first).cast("bigint")
     a, b = feistel_pair(F.floor(day / 5411), day % 5411, 27, 5411, key, "date", back)
     new = F.date_add(first, (a * 5411 + b).cast("int"))
-    sep = F.when(m.contains("/"), "/").otherwise(".")
+    sep = F.when(m.contains("/"), "/").when(m.contains("-"), "-").otherwise(".")
+    ymd = F.concat(F.date_format(new, "yyyy"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "dd"))
     dmy = F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))
-    dated = F.when((day >= 0) & (day < cycle), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(dmy)).otherwise(m)
+    dated = F.when((day >= 0) & (day < cycle), F.when(iso, ymd).otherwise(dmy)).otherwise(m)
     country = F.when(m.startswith("+1"), F.substr(m, F.lit(1), F.lit(2))).otherwise("")
     national = F.substr(m, F.length(country) + 1)
     phone = F.concat(country, _into(national, feistel_chars(F.regexp_replace(national, "[^0-9]", ""), key, "phone", back)))
     name = F.substring_index(m, ".", -1)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(name))
-    email = F.concat(feistel_chars(head, key, "email", back), name)
-    secret = F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_chars(F.substr(m, F.lit(5)), key, "secret", back))).otherwise(feistel_chars(m, key, "hex", back, 6))
+    email = F.concat(_cased(feistel_chars(F.lower(head), key, "email", back), head), name)
+    secret = F.when(m.startswith("sk-"), F.concat(F.lit("sk-"), feistel_chars(F.substr(m, F.lit(4)), key, "secret", back))).when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_chars(F.substr(m, F.lit(5)), key, "secret", back))).otherwise(feistel_chars(m, key, "hex", back, 6))
     return (
         F.when(m.contains("@"), email)
+        .when(m.rlike(rf"^{IBAN}$"), _iban(m, key, back))
+        .when(m.rlike(rf"^{SSN}$"), _ssn(m, key, back))
         .when(m.rlike(rf"^{IP}$"), ip)
         .when(m.rlike(rf"^(?:{DATE})$"), dated)
         .when(m.rlike(rf"^(?:{PHONE})$"), phone)

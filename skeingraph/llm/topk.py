@@ -1,13 +1,14 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Vectors are dealt to shards of about `shard_rows` by a hash of vec_id, so equal vectors
-spread out. A shard's rows are split at the median of the dimension with the largest
-spread, down to small leaves, and every node keeps its tight bounding box. For a query q the largest inner product within a
-box is the sum of max(q*low, q*high), which bounds the distance of all rows below it: nodes whose bound
-is less than the query's kth score are skipped with all that stands below them, and the leaves left are visited best bound first.
+Vectors are dealt to shards of about `shard_rows` by median splits of the dimension with the largest spread, which are
+learnt from a bounded sample (SAMPLE; they decide on the dealing, not on results); what falls into one place too often, such as
+equal vectors, is dealt further by a hash of vec_id. Every shard has a tight bounding box, and so have the nodes of its own KD-tree, down to small leaves.
+For a query q the largest inner product within a box is the sum of max(q*low, q*high): what lies in a box whose bound
+is less than the query's kth score is skipped.
 
-Two rounds: each block of queries is searched in one shard first, which gives every query a kth score;
-that score is propagated to the searches of all other shards, and the shards' results are merged.
+Two rounds: each query is searched in the shard of its largest bound first, which gives it a kth score; that
+score is propagated, and only the shards whose box reaches it are asked for more, so neither rows nor queries move to shards that can't
+help. Within a shard leaves are visited best bound first. Queries of a shard come in blocks, whose number follows how many queries ask it.
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, and rows
 with a null vec_id take no part, as query or as candidate; vectors of other lengths than the
@@ -26,6 +27,8 @@ from skeingraph.llm.common import table, written
 LEAF = 64
 SHARD_ROWS = 8192
 BLOCK = 8192
+#: Vectors that splits are learnt from, and shards, at most.
+SAMPLE, SHARDS = 20_000, 20_000
 HIT = "query_id long, vec_id long, score long"
 
 
@@ -138,25 +141,155 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
+class Splits:
+    """Median splits of vectors of one length into `leaves` places, numbered from `first`."""
+
+    def __init__(self, x: np.ndarray, leaves: int, first: int):
+        self.nodes: list[tuple[int, float, int, int]] = []  # dimension, threshold, children; a leaf: -1, its number
+        self.count = 0
+
+        def node(part: np.ndarray, k: int) -> int:
+            at = len(self.nodes)
+            self.nodes.append((-1, 0.0, first + self.count, -1))
+            spread = part.max(0) - part.min(0) if len(part) else np.zeros(0)
+            if k > 1 and len(part) > 1 and len(spread) and spread.max() > 0:
+                d, low = int(spread.argmax()), k // 2
+                t = float(np.quantile(part[:, d], low / k, method="higher"))
+                t = t if t > part[:, d].min() else float(part[:, d][part[:, d] > t].min())
+                left = node(part[part[:, d] < t], low)
+                self.nodes[at] = (d, t, left, node(part[part[:, d] >= t], k - low))
+            else:
+                self.count += 1
+            return at
+
+        node(x, leaves)
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        out, stack = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+        while stack:
+            at, rows = stack.pop()
+            d, t, a, b = self.nodes[at]
+            if d < 0:
+                out[rows] = a
+            else:
+                low = x[rows, d] < t
+                stack += [(a, rows[low]), (b, rows[~low])]
+        return out
+
+
+def _matrices(vectors):
+    """(length, row numbers, matrix) of each length among a series of vectors."""
+    sizes = vectors.map(len).to_numpy()
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, np.array(vectors.iloc[at].tolist(), np.float64).reshape(len(at), -1)
+
+
+def _dealt(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """vec_id, x, shard: written."""
+    spark = rows.sparkSession
+    counts = {r["d"]: r["n"] for r in rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    shard_rows = max(shard_rows, -(-total // SHARDS))
+    few = (rows if total <= SAMPLE else rows.where(F.rand(3) < SAMPLE / total)).select("x").toPandas()
+    splits, first = {}, 0
+    for d, _, x in _matrices(few["x"]) if len(few) else []:
+        splits[d] = Splits(x, -(-counts[d] // shard_rows), first)
+        first += splits[d].count
+    # Lengths that the sample lacks have a place each.
+    for d in sorted(set(counts) - set(splits)):
+        splits[d] = Splits(np.zeros((0, d)), 1, first)
+        first += 1
+    held = spark.sparkContext.broadcast(splits)
+
+    def run(batches):
+        for pdf in batches:
+            place = np.zeros(len(pdf), np.int64)
+            for d, at, x in _matrices(pdf["x"]):
+                place[at] = held.value[d].places(x)
+            yield pdf.assign(place=place)
+
+    placed = written(rows.select("vec_id", "x").mapInPandas(run, "vec_id long, x array<long>, place long"), "topk-placed")
+    parts, at = {}, 0
+    for r in placed.groupBy("place").count().orderBy("place").collect():
+        parts[r["place"]] = (at, -(-r["count"] // shard_rows))
+        at += parts[r["place"]][1]
+    table = F.broadcast(spark.createDataFrame([(p, a, n) for p, (a, n) in parts.items()], "place long, at long, n long"))
+    return placed.join(table, "place").select("vec_id", "x", (F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("shard"))
+
+
+def _boxes(dealt: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By vector length: shards, and the low and high ends of their boxes."""
+
+    def partial(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for s, g in pdf.groupby("shard"):
+                x = np.array(g["x"].tolist(), np.int64).reshape(len(g), -1)
+                out.append((s, x.min(0), x.max(0)))
+            yield pd.DataFrame(out, columns=["shard", "low", "high"])
+
+    def merged(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], np.min(pdf["low"].tolist(), 0), np.max(pdf["high"].tolist(), 0))], columns=["shard", "low", "high"])
+
+    kind = "shard long, low array<long>, high array<long>"
+    found = dealt.select("shard", "x").mapInPandas(partial, kind).groupBy("shard").applyInPandas(merged, kind).toPandas().sort_values("shard")
+    shards = found["shard"].to_numpy()
+    return {d: (shards[at], low, np.array(found["high"].iloc[at].tolist(), np.float64).reshape(len(at), -1)) for d, at, low in _matrices(found["low"])} if len(found) else {}
+
+
+def _asked(queries: DataFrame, boxes, home: bool) -> DataFrame:
+    """queries with `shard`: home: the one of the largest bound; otherwise every other one whose bound reaches `kth`."""
+    held = queries.sparkSession.sparkContext.broadcast(boxes)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for d, at, q in _matrices(pdf["q"]):
+                if d not in held.value:
+                    continue
+                shards, low, high = held.value[d]
+                # Some thousands of queries at a time, so the bounds take a fixed room.
+                for part in np.array_split(np.arange(len(at)), -(-len(at) * len(shards) // 4_000_000)):
+                    x, rows = q[part], pdf.iloc[at[part]]
+                    bound = np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T
+                    if home:
+                        yield rows.assign(shard=shards[bound.argmax(1)])
+                    else:
+                        i, j = np.nonzero((bound >= rows["kth"].to_numpy()[:, None]) & (shards[None] != rows["home"].to_numpy()[:, None]))
+                        yield pd.DataFrame({c: rows[c].to_numpy()[i] for c in rows} | {"shard": shards[j]})
+
+    kind = "query_id long, q array<long>" + ("" if home else ", home long, kth double")
+    return queries.mapInPandas(run, kind + ", shard long")
+
+
+def _pairs(asked: DataFrame, dealt: DataFrame, k: int, block: int) -> DataFrame:
+    """Hits of the queries (query_id, q, kth, shard) in their shards; a task holds one shard and one block of its queries, both of bounded size."""
+    asked = written(asked, "topk-asked")
+    blocks = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("query_id", "q", "kth", F.col("shard").alias("q_shard"), F.col("block").alias("q_block"))
+    rows = dealt.join(blocks, "shard").select("vec_id", "x", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return asked.groupBy("q_shard", "q_block").cogroup(rows.groupBy("shard", "block")).applyInPandas(_searched(k), HIT)
+
+
 def top_k(rows: DataFrame, is_query, k: int, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. rows: vec_id, x (integers); is_query: a condition on vec_id."""
-    rows = written(rows, "topk-rows")
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    queries = rows.where(is_query)
-    blocks = max(1, -(-queries.count() // block))
-    number = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    # A task holds one shard and one block of queries, both of bounded size.
-    dealt = rows.select("vec_id", "x", number(0, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), number(1, blocks).alias("q_block"), number(2, shards).alias("home"))
-    pairs = lambda asked: asked.groupBy("q_shard", "q_block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_searched(k), HIT)
-    # First round: each query in one shard.
+    dealt = written(_dealt(written(rows, "topk-rows"), shard_rows), "topk-dealt")
+    boxes = _boxes(dealt)
     none = F.lit(float("-inf"))
-    first = written(pairs(queries.withColumn("q_shard", F.col("home")).withColumn("kth", none)), "topk-first")
+    queries = dealt.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    queries = written(_asked(queries, boxes, home=True).withColumnRenamed("shard", "home"), "topk-queries")
+    # First round: each query in one shard.
+    first = written(_pairs(queries.select("query_id", "q", none.alias("kth"), F.col("home").alias("shard")), dealt, k, block), "topk-first")
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(none).alias("kth"))
-    # Second round: in every other shard, with the score to reach.
-    asked = queries.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", none))
-    second = pairs(asked.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("q_shard != home"))
+    # Second round: in the shards that may hold better ones, with the score to reach.
+    left = queries.join(kth, "query_id", "left").select("query_id", "q", "home", F.coalesce("kth", none).alias("kth"))
+    second = _pairs(_asked(left, boxes, home=False).select("query_id", "q", "kth", "shard"), dealt, k, block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

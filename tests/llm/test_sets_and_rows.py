@@ -102,6 +102,23 @@ def test_exact_top_k(spark):
     assert topk.top_k(topk.quantized(v.limit(0)), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_shards_that_cannot_help_are_not_asked(spark):
+    """Clustered vectors: the second round reaches few shards, and equal vectors are dealt to several."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 400
+    x = np.concatenate([np.rint(centres[i % 40] + rng.normal(size=8) * 5) .reshape(1, -1) for i in range(1500)] + [np.full((500, 8), 7.0)]).astype(int)
+    rows = topk.written(spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(x)], "vec_id long, x array<long>"), "t")
+    dealt = topk.written(topk._dealt(rows, 100), "t")
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 300 and len(sizes) >= 20
+    got = defaultdict(list)
+    for r in topk.top_k(rows, F.col("vec_id") % 50 == 0, 5, shard_rows=100, block=7).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 2000, 50):
+        best = sorted((-int(x[i] @ x[j]), j) for j in range(2000) if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 TEXT = "Call +1 (212) 555-0188 or mail jo.e+7@mail.example.org, pay 4111 1111 1111 1111 not 4111 1111 1111 1112; from 10.0.255.1 on 2021-02-28 (28/02/2021, 28.02.2021), not 2021-02-30 or 999.1.1.1. password=66213754e9ea22e86d"
 
 
@@ -214,3 +231,50 @@ def test_pseudonyms_keep_columns_of_any_name(spark):
     out = pii.pseudonymize(docs, "key", count="n")
     assert out.columns == docs.columns and {(r["_found"], r["_FOUND_"]) for r in out.collect()} == {("mine", 1)}
     assert [r["n"] for r in out.orderBy("doc_id").collect()] == [1, 0]
+
+
+def python_feistel(a, b, n_a, n_b, key, domain):
+    import hashlib
+
+    number = lambda x, r: int(hashlib.sha256(f"{key}|{r}|{domain}|{x}".encode()).hexdigest()[:15], 16)
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            a = (a + number(b, r) % n_a) % n_a
+        else:
+            b = (b + number(a, r) % n_b) % n_b
+    return a, b
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_pseudonyms_equal_an_independent_feistel(spark):
+    """Numbers whose permutation is written out in Python: addresses, dates in five formats, social security numbers."""
+    import datetime
+
+    texts = ["at 10.0.255.1.", "on 2021-02-28", "on 2021/02/28", "on 28/02/2021", "on 28.02.2021", "on 28-02-2021", "no 123-45-6789 x", "no 899-99-9999 x", "no 001-01-0001 x", "no 667-01-0001 x"]
+    out = [r["text"] for r in pii.pseudonymize(frame(spark, texts), "key").orderBy("doc_id").collect()]
+    hi, lo = python_feistel(10 * 256, 255 * 256 + 1, 65536, 65536, "key", "ip")
+    assert out[0] == f"at {hi >> 8}.{hi % 256}.{lo >> 8}.{lo % 256}."
+    day = (datetime.date(2021, 2, 28) - datetime.date(1700, 1, 1)).days
+    a, b = python_feistel(day // 5411, day % 5411, 27, 5411, "key", "date")
+    d = datetime.date(1700, 1, 1) + datetime.timedelta(a * 5411 + b)
+    assert out[1:6] == [d.strftime(f"on {f}") for f in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d.%m.%Y", "%d-%m-%Y")]
+    for text, got in zip(texts[6:], out[6:], strict=True):
+        x, y, z = map(int, text.split()[1].split("-"))
+        a, b = python_feistel(x - 1 - (x > 666), (y - 1) * 9999 + z - 1, 898, 99 * 9999, "key", "ssn")
+        assert got == f"no {a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d} x" and re.search(pii.SSN, got)
+    assert [r["text"] for r in pii.reveal(spark.createDataFrame([(t,) for t in out], "text string"), "key").collect()] == texts
+
+
+def test_ibans_and_capitals(spark):
+    texts = ["DE89370400440532013000", "pay DE89 3704 0044 0532 0130 00 now", "GB29NWBK60161331926819", "DE00370400440532013000", "000-12-3456 666-12-3456 123-00-4567", "Jo.E+7@Mail.example.org JO.E+7@MAIL.example.org jo.e+7@mail.example.org", "Password: 66213754e9ea22e86d", "sk-abcDEF0123456789abcDEF_xyz"]
+    out = [r["text"] for r in pii.pseudonymize(frame(spark, texts), "key").orderBy("doc_id").collect()]
+    compact, spaced = out[0], out[1].removeprefix("pay ").removesuffix(" now")
+    assert compact != texts[0] and mod97(compact) == mod97(out[2]) == 1 and spaced.replace(" ", "") == compact and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", out[2])
+    assert out[3:5] == texts[3:5]
+    a, b, c = out[5].split(" ")
+    assert a.lower() == b.lower() == c and a != b and a[0].isupper() and c not in texts[5]
+    assert "66213754" not in out[6] and out[7].startswith("sk-") and out[7] != texts[7]
+    assert [r["text"] for r in pii.reveal(spark.createDataFrame([(t,) for t in out], "text string"), "key").collect()] == texts
