@@ -74,6 +74,14 @@ def absolute_path(base: Column, relative: Column) -> Column:
     return F.when(relative == ".", base).otherwise(F.concat_ws("/", F.regexp_replace(base, "/+$", ""), relative))
 
 
+def stored_path(base: Column, absolute: Column) -> Column:
+    """The normalized path below base; null for one that is not below it."""
+    root = F.concat(F.regexp_replace(F.replace(base, F.lit("\\"), F.lit("/")), "/+$", ""), F.lit("/"))
+    path = F.replace(absolute, F.lit("\\"), F.lit("/"))
+    inside = F.when(path.startswith(root), F.substr(path, F.length(root) + 1)).when(F.concat(path, F.lit("/")) == root, F.lit("."))
+    return normalize_path(inside)
+
+
 def text_hash(c: Column) -> Column:
     """SHA-256 of the UTF-8 bytes."""
     return F.unhex(F.sha2(c, 256))

@@ -90,5 +90,24 @@ def normalized_text(declarations: DataFrame, documents: DataFrame, sources: Data
     return declarations.join(paths, "document_id").join(texts, "normalized_source_id")
 
 
+class PayloadError(ValueError):
+    """A document's text is missing, or stored more than once."""
+
+
+def payload_faults(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """normalized_source_id, fault of the texts that documents name: `missing`, or `duplicate` where several rows have one id."""
+    used = documents.select("normalized_source_id").distinct()
+    held = sources.groupBy(F.col("id").alias("normalized_source_id")).count()
+    fault = F.when(F.col("count").isNull(), "missing").when(F.col("count") > 1, "duplicate")
+    return used.join(held, "normalized_source_id", "left").select("normalized_source_id", fault.alias("fault")).where("fault is not null")
+
+
+def checked_payloads(documents: DataFrame, sources: DataFrame) -> None:
+    """PayloadError before texts are read, naming a few of the faults."""
+    bad = payload_faults(documents, sources).orderBy("normalized_source_id").limit(5).collect()
+    if bad:
+        raise PayloadError(", ".join(f"text {r['normalized_source_id']} is {r['fault']}" for r in bad))
+
+
 def types(symbols: DataFrame) -> DataFrame:
     return symbol_scan(symbols, kinds=[SymbolKind.TYPE])

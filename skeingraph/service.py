@@ -174,7 +174,9 @@ class Service:
         found = self.select(request, "source show")
         single(found.ids)
         rows = joins.preferred_declarations(found.roots, self.t["symbol_declarations"])
-        rows = scans.normalized_text(rows, self.t["documents"], self.t["normalized_sources"])
+        own = self.t["documents"].join(rows.select(F.col("document_id").alias("id")), "id", "left_semi")
+        scans.checked_payloads(own, self.t["normalized_sources"])
+        rows = scans.normalized_text(rows, own, self.t["normalized_sources"])
         return rows.withColumn("source", T.utf16_slice(F.col("normalized_source"), F.col("normalized_start"), F.col("normalized_length"))).drop("normalized_source")
 
     def references(self, request: Request, generated: int = GeneratedFilter.INCLUDE) -> DataFrame:

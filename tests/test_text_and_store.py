@@ -177,3 +177,57 @@ def test_keys_of_what_has_no_name(spark):
     assert one(spark, T.local_function_key(F.col("o"), F.lit("F()"), F.lit("a.cs"), F.lit(3), F.lit(4)), o="k") == "k|local:F()|document:a.cs|span:3:4"
     with pytest.raises(Exception, match="local function"):
         one(spark, T.local_function_key(F.col("o"), F.lit("F()"), F.lit("a.cs"), F.lit(-3), F.lit(4)), o="k")
+
+
+def test_stored_and_absolute_paths(spark):
+    for absolute, want in (("/r/a/b.cs", "a/b.cs"), ("/r", "."), ("/r/", "."), ("/rx/a.cs", None), ("/r\\x\\..\\y.cs", "y.cs"), ("/q/a.cs", None)):
+        assert one(spark, T.stored_path(F.col("b"), F.col("p")), b="/r/", p=absolute) == want
+    assert one(spark, T.absolute_path(F.col("b"), F.col("p")), b="/r/", p="a/b.cs") == "/r/a/b.cs"
+
+
+def test_payload_faults(spark):
+    from skeingraph.operators import scans
+
+    docs = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 10)], "id long, normalized_source_id long")
+    sources = spark.createDataFrame([(10, "a"), (11, "b"), (11, "c"), (99, "d"), (99, "e")], "id long, normalized_source string")
+    with pytest.raises(scans.PayloadError, match="text 11 is duplicate, text 12 is missing"):
+        scans.checked_payloads(docs, sources)
+    scans.checked_payloads(docs.where("id in (1, 4)"), sources)
+
+
+def test_source_show_and_other_commands(spark):
+    """A small index: the only root's source, ways to it, and what is refused."""
+    from skeingraph.operators.output import RequireSingle
+    from skeingraph.plans.conditions import Condition
+    from skeingraph.service import Request, Service, UsageError
+
+    symbol = "id long, analysis_profile_id long, kind int, name string, namespace_name string, type_identity_path string, type_display_path string, executable_identity_path string, executable_display_path string, stable_key string, preferred_declaration_id long, containing_symbol_id long, type_kind int, async_role int, async_involvement_depth int, async_next_symbol_id long"
+    rows = [(1, 1, 1, "T", "N", "T", "T", "", "", "k1", None, None, 2, 0, None, None)]
+    rows += [(i, 1, 2, n, "N", "T", "T", f"{n}()", f"{n}()", f"k{i}", i * 10, 1, None, role, depth, to) for i, n, role, depth, to in ((2, "A", 0, 2, 3), (3, "B", 0, 1, 4), (4, "C", 1, 0, None), (5, "D", 0, None, None))]
+    tables = {
+        "symbols": spark.createDataFrame([*rows, (9, 2, 2, "A", "N", "T", "T", "A()", "A()", "other", 20, 1, None, 0, None, None)], symbol),
+        "symbol_declarations": spark.createDataFrame([(i * 10, i, 100, 1, i, 1, i - 2, 2, False) for i in (2, 3, 4, 5)], "id long, symbol_id long, document_id long, declaration_role int, source_start int, source_length int, normalized_start int, normalized_length int, is_generated boolean"),
+        "documents": spark.createDataFrame([(100, "a.cs", "0123456789", False, 7)], "id long, normalized_path string, source_text string, is_generated boolean, normalized_source_id long"),
+        "normalized_sources": spark.createDataFrame([(7, "a😀bcdef")], "id long, normalized_source string"),
+        "calls": spark.createDataFrame([(1, 1, 2, 3, 3, 1, 1, 1, 0, 1, 100, 1, 3, None), (2, 1, 3, 4, 4, 1, 1, 1, 0, 1, 100, 5, 2, None)], "id long, analysis_profile_id long, caller_symbol_id long, callee_symbol_id long, callee_definition_id long, reference_kind int, dispatch_kind int, resolution_status int, resolution_reason int, async_usage_kind int, document_id long, source_start int, source_length int, unresolved_name string"),
+        "call_candidates": spark.createDataFrame([], "call_id long, candidate_symbol_id long"),
+        "analysis_profiles": spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string"),
+        "index_runs": spark.createDataFrame([(5, 1, 10), (6, 2, 9)], "id long, analysis_profile_id long, indexed_at_utc long"),
+    }
+    s = Service.open(tables)
+    assert s.source_show(Request("T::D")).head()["source"] == "bc"
+    assert s.async_tree(Request("T::A")).nodes == [2, 3, 4] and s.async_tree(Request("T::D")) is None
+    assert {(r["id"], r["depth"], r["next"]) for r in s.involved().collect()} == {(4, 0, None), (3, 1, 4), (2, 2, 3)}
+    tree = s.callers_tree(Request("T::C"))
+    assert [(r["id"], r["depth"]) for r in tree.nodes.orderBy("place").collect()] == [(4, 0), (3, 1), (2, 2)] and s.call_sites(tree).count() == 2
+    assert {(r["at"], r["symbol_id"]) for r in s.definition_at(spark.createDataFrame([("a.cs:1:3",), ("./a.cs:1:7",), ("a.cs:1:6",), ("b.cs:1:1",)], "at string")).collect()} == {("a.cs:1:3", 3), ("./a.cs:1:7", 4), ("a.cs:1:6", 4)}
+    assert s.symbol_list(Request(), involved=True).count() == 3 and s.symbol_find(Request("T::A")).count() == 1
+    with pytest.raises(RequireSingle):
+        s.source_show(Request("T::*"))
+    with pytest.raises(RequireSingle):
+        s.definition(Request("T::Nothing"))
+    with pytest.raises(UsageError):
+        s.source_search(Request("T::A"))
+    assert s.source_search(Request(conditions=(Condition("include", "345", "literal"),))).count() == 4
+    with pytest.raises(UsageError):
+        Service.open(tables, "three")
