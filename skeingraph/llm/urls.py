@@ -36,12 +36,33 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffix_domain(host: Column, two_labels: list[str] = TWO_LABELS) -> tuple[Column, Column]:
-    """Public suffix and registered domain of a host, a port taken off."""
+def suffix_domain(host: Column, suffixes: list[str] = TWO_LABELS) -> tuple[Column, Column]:
+    """Public suffix and registered domain of a host, a port taken off.
+
+    suffixes: rules as public lists write them: `co.uk`, `*.ck` for any label before ck, `!www.ck` for what `*.ck` doesn't cover; the longest rule wins, and one label is a suffix without any."""
     name = F.regexp_replace(host, r":\d*$", "")
-    two = F.substring_index(name, ".", -2)
-    suffix = F.when(two.isin(two_labels), two).otherwise(F.substring_index(name, ".", -1))
-    return suffix, F.when(two.isin(two_labels), F.substring_index(name, ".", -3)).otherwise(two)
+    tail = lambda k: F.substring_index(name, ".", -k)
+    plain, wild, kept = ([x.lstrip("!").removeprefix("*.") for x in suffixes if test(x)] for test in (lambda x: x[0] not in "*!", lambda x: x[0] == "*", lambda x: x[0] == "!"))
+    of = lambda rules, k: [x for x in rules if x.count(".") == k - 1]
+    length, n = F.lit(1), F.size(F.split(name, r"\."))
+    most = max((x.count(".") + 2 for x in suffixes), default=1)
+    for k in range(2, most + 1):
+        if of(plain, k):
+            length = F.when(tail(k).isin(of(plain, k)), k).otherwise(length)
+        if of(wild, k - 1):
+            length = F.when((n >= k) & tail(k - 1).isin(of(wild, k - 1)), k).otherwise(length)
+        if of(kept, k):
+            length = F.when(tail(k).isin(of(kept, k)), k - 1).otherwise(length)
+    suffix, domain = tail(1), tail(2)
+    for k in range(2, most + 1):
+        suffix, domain = F.when(length == k, tail(k)).otherwise(suffix), F.when(length == k, tail(k + 1)).otherwise(domain)
+    return suffix, domain
+
+
+def read_suffixes(spark: SparkSession, path: str) -> list[str]:
+    """The rules of a public suffix list: one a line, up to white space; `//` starts a comment. Some ten thousand at most, so they are collected."""
+    lines = spark.read.text(path).select(F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1)).alias("rule")).where("rule != '' and not startswith(rule, '//')")
+    return [r["rule"] for r in lines.distinct().orderBy("rule").limit(100_000).collect()]
 
 
 def rule_for(host: Column, path: Column, rules) -> Column:
@@ -68,31 +89,31 @@ def _shrunk(groups: DataFrame, name: str) -> DataFrame:
     return groups.withColumn(name, (F.col("k") + s * F.col("prior")) / (F.col("n") + s))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.64) -> tuple[DataFrame, dict]:
+def host_reputation(outcomes: DataFrame, z: float = 1.64, suffixes: list[str] = TWO_LABELS) -> tuple[DataFrame, dict]:
     """outcomes: host, outcome. Returns hosts with their prior's and posterior's figures, and the levels' tables for hosts never seen.
 
     Each level's strength is measured around its parents' shrunk rates, so what a suffix explains is not counted again below it."""
-    suffix, domain = suffix_domain(F.col("host"))
+    suffix, domain = suffix_domain(F.col("host"), suffixes)
     hosts = (
         outcomes.where("outcome in (0, 1) and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("k"))
         .withColumn("suffix", suffix).withColumn("domain", domain)
     )
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()
+    suffix_counts = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    n, k = suffix_counts.agg(F.sum("n"), F.sum("k")).first()
     rate = k / n if n else 0.5
-    suffixes = _shrunk(suffixes.withColumn("prior", F.lit(rate)), "suffix_rate").select("suffix", "suffix_rate")
-    domains = _shrunk(domains.join(suffixes, "suffix").withColumn("prior", F.col("suffix_rate")), "domain_rate").select("domain", "domain_rate")
+    by_suffix = _shrunk(suffix_counts.withColumn("prior", F.lit(rate)), "suffix_rate").select("suffix", "suffix_rate")
+    domains = _shrunk(domains.join(by_suffix, "suffix").withColumn("prior", F.col("suffix_rate")), "domain_rate").select("domain", "domain_rate")
     strength = _strength(hosts.join(domains, "domain").withColumn("prior", F.col("domain_rate")))
-    return hosts.drop("suffix"), {"rate": rate, "suffixes": suffixes, "domains": domains, "strength": strength, "z": z}
+    return hosts.drop("suffix"), {"rate": rate, "suffixes": by_suffix, "domains": domains, "strength": strength, "z": z}
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.6, z: float = 1.64) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.6, z: float = 1.64, suffixes: list[str] = TWO_LABELS) -> DataFrame:
     """pages with host, path, rule, verdict, and the host's posterior mean and bound. outcomes: url, outcome."""
-    seen, levels = host_reputation(outcomes.select(host_path(F.col("url"))[0].alias("host"), "outcome"), z)
+    seen, levels = host_reputation(outcomes.select(host_path(F.col("url"))[0].alias("host"), "outcome"), z, suffixes)
     host, path = host_path(F.col("url"))
     pages = pages.withColumn("host", host).withColumn("path", path)
-    suffix, domain = suffix_domain(F.col("host"))
+    suffix, domain = suffix_domain(F.col("host"), suffixes)
     hosts = pages.select("host").distinct().withColumn("suffix", suffix).withColumn("domain", domain)
     hosts = hosts.join(seen.select("host", "n", "k"), "host", "left").join(levels["domains"], "domain", "left").join(levels["suffixes"], "suffix", "left")
     prior = F.coalesce("domain_rate", "suffix_rate", F.lit(levels["rate"]))

@@ -122,3 +122,13 @@ def test_reputation_by_numbers(spark):
         prior = by_domain.get(domain(h), by_suffix.get(suffix(h), rate))
         m, k = n.get(h, (0, 0))
         assert abs(r["posterior_mean"] - (k + s * prior) / (m + s)) < 1e-9
+
+
+def test_public_suffixes(spark, tmp_path):
+    (tmp_path / "list.dat").write_text("// rules\ncom\nco.uk\n*.ck  // any\n!www.ck\n\na.b.c.d\nCO.JP\n")
+    rules = urls.read_suffixes(spark, f"file://{tmp_path}/list.dat")
+    assert rules == ["!www.ck", "*.ck", "a.b.c.d", "co.jp", "co.uk", "com"]
+    want = {"x.y.com": ("com", "y.com"), "x.y.co.uk:80": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.any.ck": ("any.ck", "b.any.ck"), "x.www.ck": ("ck", "www.ck"), "ck": ("ck", "ck"), "z.a.b.c.d": ("a.b.c.d", "z.a.b.c.d"), "b.c.d": ("d", "c.d"), "": ("", ""), "host": ("host", "host")}
+    suffix, domain = urls.suffix_domain(F.col("h"), rules)
+    got = {r["h"]: (r["s"], r["d"]) for r in spark.createDataFrame([(h,) for h in want], "h string").select("h", suffix.alias("s"), domain.alias("d")).collect()}
+    assert got == want
