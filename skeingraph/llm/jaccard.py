@@ -120,7 +120,7 @@ def _counted(docs: DataFrame, size: int) -> dict[str, bytearray]:
 
 
 def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Written: doc_id, n, key (two numbers that stand for the set), tokens and positions of the indexed prefix, and the whole set where there is such a prefix."""
+    """Written: doc_id, n, words (how many), key (two numbers that stand for the set), tokens and positions of the indexed prefix, and the whole set where there is such a prefix."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     maps = docs.sparkSession.sparkContext.broadcast(_counted(docs, size))
 
@@ -129,7 +129,8 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 
         for batch in batches:
             rows = []
-            for d, s in zip(batch.column(0).to_pylist(), shingles(*word_hashes(batch.column(1)), size), strict=True):
+            hashes, counts = word_hashes(batch.column(1))
+            for d, words, s in zip(batch.column(0).to_pylist(), counts.tolist(), shingles(hashes, counts, size), strict=True):
                 n = len(s)
                 k1, k2 = (int(x) for x in (s.sum(dtype=np.uint64).view(np.int64), mix(s ^ _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
                 at = (s >> np.uint64(64 - BITS)).astype(np.int64)
@@ -143,10 +144,10 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                         kind = kind * (1 + (kinds[at >> 1] >> (4 - 4 * (at & 1)).astype(np.uint8) & 15))
                         order = np.argsort(kind, kind="stable")[single:first]
                         tokens, pos = s[order], np.arange(single, single + len(order))
-                rows.append((d, n, k1, k2, tokens.view(np.int64), pos.astype(np.int32), s.tobytes() if len(tokens) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "tokens", "positions", "whole"])
+                rows.append((d, n, words, k1, k2, tokens.view(np.int64), pos.astype(np.int32), s.tobytes() if len(tokens) else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "words", "k1", "k2", "tokens", "positions", "whole"])
 
-    rows = written(map_texts(docs, run, "doc_id long, n int, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary"), "jaccard-profiles")
+    rows = written(map_texts(docs, run, "doc_id long, n int, words long, k1 long, k2 long, tokens array<long>, positions array<int>, whole binary"), "jaccard-profiles")
     maps.destroy()
     release(docs.sparkSession)
     return rows
@@ -229,16 +230,16 @@ def _block(n, percent: int):
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; docs: doc_id, text."""
+    """doc_id, n_shingles, component_id, n_words of every document; docs: doc_id, text."""
     rows = profiles(docs, size, percent)
     small = rows.select("doc_id", "n", "k1", "k2")
     if small.groupBy("doc_id").count().where("count > 1").isEmpty():
         once = rows
     else:
         once = written(rows.join(small.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("m")).select("doc_id", "m.k1", "m.k2"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]), "jaccard-once")
-    small = once.select("doc_id", "n", "k1", "k2")
+    small = once.select("doc_id", "n", "words", "k1", "k2")
     reps = small.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = written(small.join(reps, ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-members")
+    members = written(small.join(reps, ["k1", "k2"], "left").select("doc_id", "n", "words", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-members")
 
     index = once.where(F.size("tokens") > 0).join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     lists = index.select("rep", "n", F.explode(F.arrays_zip("tokens", "positions")).alias("x")).select(F.col("x.tokens").alias("token"), "rep", "n", F.col("x.positions").alias("pos"))
@@ -282,11 +283,11 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     if not last.where(is_link).isEmpty():
         classes = components(answers.unionByName(last).where(is_link))
     release(docs.sparkSession)
-    return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("words").alias("n_words"))
 
 
 def row_components(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
-    """The rows of docs with an id, with a struct<rank, row> that tells them apart also where ids repeat, and that struct's name; and the _component of each _row.
+    """The rows of docs with an id, with a struct<rank, row> that tells them apart also where ids repeat, and that struct's name; and the _component and _words of each _row.
 
     A row's number is its doc_id, or a hash for the second and later rows (by text) of one doc_id."""
     rows, name = docs.where("doc_id is not null"), fresh(docs, "_near")
@@ -301,7 +302,7 @@ def row_components(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
     if repeated:
         rows = written(rows, "jaccard-rows")
     found = near_copies(rows.select(F.col(f"{name}.row").alias("doc_id"), "text"))
-    return rows, name, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    return rows, name, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"), F.col("n_words").alias("_words"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

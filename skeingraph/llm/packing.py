@@ -122,10 +122,9 @@ def pack_rows(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
 def pack_near_copies_apart(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """As pack_documents, with the components of near copies (five words, 0.75) as clusters; wordless texts, which link with nothing, by exact text."""
     rows, name, found = jaccard.row_components(docs)
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = rows.select(F.col(f"{name}.row").alias("_row"), "doc_id", words.alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("exact"), F.xxhash64("source").alias("source"))
-    rows = rows.join(found, "_row").withColumn("cluster", F.when(F.col("words") > 0, F.xxhash64("_component", F.lit(1))).otherwise(F.col("exact")))
-    return pack_rows(written(rows.select("doc_id", "words", "cluster", "source"), "packing-rows"), capacity, shard_rows)
+    rows = rows.select(F.col(f"{name}.row").alias("_row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("exact"), F.xxhash64("source").alias("source"))
+    rows = rows.join(found, "_row").withColumn("cluster", F.when(F.col("_words") > 0, F.xxhash64("_component", F.lit(1))).otherwise(F.col("exact")))
+    return pack_rows(written(rows.select("doc_id", F.col("_words").alias("words"), "cluster", "source"), "packing-rows"), capacity, shard_rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
