@@ -318,14 +318,14 @@ def _requests(docs: DataFrame, root, hot: Hot, max_context: int) -> DataFrame:
     return map_texts(docs.select("doc_id", "text", "learn"), run, ROWS)
 
 
-def _hot_rows(docs: DataFrame, root, hot: Hot, max_context: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def _hot_rows(docs: DataFrame, root, hot: Hot) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """ROWS of kind 1 for every bucket that needs them, and of each hot context: whether it is a state, and what its distribution leaves to its parent's."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
     depths = {i: k for k, own in hot.numbers.items() for i in own.tolist()}
 
     def run(batches):
         for batch in batches:
-            t = Tokens(root.value, batch.column(0), max_context)
+            t = Tokens(root.value, batch.column(0), max(held.value.keys))
             key, left = np.zeros(len(t.w), np.uint64), np.arange(len(t.w))
             for k, u in enumerate(t.before, 1):
                 on = u[left] != NOTHING
@@ -426,7 +426,7 @@ def score(docs: DataFrame, max_context: int = MAX_CONTEXT, heavy: float = HEAVY,
     hot = hot_contexts(learnt, held, max_context, buckets) if buckets > 1 else Hot([], 1)
     rows, facts = _requests(docs, held, hot, max_context), {"state": np.zeros(0, bool), "mass": np.zeros(0)}
     if len(hot):
-        more, facts = _hot_rows(docs, held, hot, max_context)
+        more, facts = _hot_rows(docs, held, hot)
         rows = rows.unionByName(more)
     given = spark.sparkContext.broadcast((hot, facts))
 
@@ -469,8 +469,8 @@ def score(docs: DataFrame, max_context: int = MAX_CONTEXT, heavy: float = HEAVY,
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sizes, "n_known": known, "base_score": base, "score": total, "rare": rare})
 
     release(spark)
-    # Compressed blocks: adaptive execution would put too many of them into one task, so their number is given.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    # Compressed blocks: adaptive execution would put too many of them into one task, so the number of tasks is given; few of so many hold two buckets.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * buckets)
     sums = rows.repartition(parts, "bucket").groupBy("bucket").applyInPandas(count, "kind int, bucket long, slice long, a binary, b binary")
     scores = sums.groupBy("slice").applyInPandas(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
     scores = written(scores.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
