@@ -45,8 +45,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a batch, and of the texts of it that are cut together, about.
 BATCH, GROUP_CHARS = 3_000_000, 60_000
-#: Texts that the cache is gathered from, about, and chunks that it holds, at most.
-SAMPLE, CACHE = 40_000, 1_000_000
+#: Texts that the cache is gathered from, at most and about, a quarter of all at most; chunks that it holds, at most.
+SAMPLE, SHARE, CACHE = 64_000, 0.25, 1_200_000
 #: Positions of a block of the fold; chunks whose edges one task groups at a time, about.
 BLOCK, GROUP = 64, 20_000
 HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -282,7 +282,7 @@ class Cache:
 
 def _cache(docs: DataFrame, pieces: Pieces, sample: int, most: int) -> Cache:
     n = docs.count()
-    few = docs.select("text") if n <= sample else docs.where(F.rand(7) < sample / n).select("text")
+    few = docs.where(F.rand(7) < min(SHARE, sample / n if n else 1.0)).select("text")
     held = docs.sparkSession.sparkContext.broadcast(Cutter(pieces))
 
     def run(parts):
@@ -301,7 +301,7 @@ def _cache(docs: DataFrame, pieces: Pieces, sample: int, most: int) -> Cache:
         if got.size:
             yield send()
 
-    counts = few.mapInPandas(run, "hash long, chunk string, c long").groupBy("hash").agg(F.sum("c").alias("c"), F.min("chunk").alias("chunk"))
+    counts = few.mapInPandas(run, "hash long, chunk string, c long").groupBy("hash", "chunk").agg(F.sum("c").alias("c"))
     counts = written(counts.withColumn("number", F.monotonically_increasing_id()).withColumn("batch", F.lit(0).cast("long")), "pieces-cache")
     # The least count of which not more than `most` chunks have as much; few distinct counts reach the driver, as their sum is the sample's.
     total, least = 0, None
