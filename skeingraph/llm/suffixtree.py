@@ -469,8 +469,8 @@ def score(docs: DataFrame, max_context: int = MAX_CONTEXT, heavy: float = HEAVY,
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sizes, "n_known": known, "base_score": base, "score": total, "rare": rare})
 
     release(spark)
-    # Compressed blocks: adaptive execution would put too many of them into one task, so the number of tasks is given; few of so many hold two buckets.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * buckets)
+    # Compressed blocks: adaptive execution would put too many of them into one task, so the number of tasks is given.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     sums = rows.repartition(parts, "bucket").groupBy("bucket").applyInPandas(count, "kind int, bucket long, slice long, a binary, b binary")
     scores = sums.groupBy("slice").applyInPandas(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
     scores = written(scores.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
